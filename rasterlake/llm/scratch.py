@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -39,3 +40,12 @@ class Scratch:
         """Delete a table that no later plan reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are sent to every task; beyond this they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def small_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys`` with a broadcast hint if it has at most ``limit`` rows (of a few fixed-width columns)."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
