@@ -35,16 +35,18 @@ CHUNK_BITS = 8
 SEGMENT_TOKENS = 2_000_000
 CACHED_UNITS = 400_000
 END_ID = 0
-#: A blank before a space: where a text has none, every space begins a new piece for the tokenizer.
-BLANK_SPACE = re.compile(r"[\s\x1c-\x1f] ")
+#: Where a text has no two blanks together, every space and line feed begins a new piece for the tokenizer.
+TWO_BLANKS = re.compile(r"[\s\x1c-\x1f][\s\x1c-\x1f]")
+#: Marks that are a piece of their own between a letter or digit and a blank.
+FINAL_MARKS = frozenset(".,;:!?")
 
 
 class UnitEncoder:
     """Ids of whole texts as the tokenizers library gives them, each distinct unit encoded once.
 
     A byte-level BPE that splits at blanks never joins a character other than a
-    blank with a blank that follows. So a text in which no blank stands before
-    a space can be cut before each space, and the units' ids are remembered
+    blank with a blank that follows. So a text without two blanks together can
+    be cut before each space and line feed, and the units' ids are remembered
     between texts and tasks. All other texts, and all texts under other kinds
     of tokenizers, are encoded whole.
     """
@@ -52,45 +54,58 @@ class UnitEncoder:
     def __init__(self, spec: bytes, max_units: int = CACHED_UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_units, self.units = Tokenizer.from_buffer(spec), max_units, {}
+        self.tokenizer, self.max_units = Tokenizer.from_buffer(spec), max_units
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         kind = json.loads(spec)
         pre = kind.get("pre_tokenizer") or {}
         plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in kind.get("added_tokens", []))
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not kind.get("normalizer") and plain
         if self.cuts:
             vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.marks = dict(zip(FINAL_MARKS, self.whole(list(FINAL_MARKS)), strict=True))
             self.leads = np.zeros(max(vocab.values()) + 1, bool)
-            self.leads[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
+            self.leads[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of " " + word: many at once, told apart by the ids that begin with a space."""
-        for i in range(0, len(words), 500):
-            some = words[i : i + 500]
-            ids = np.asarray(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of units: a word that follows a space, or a line feed and a word.
+
+        A final mark is put after the ids of the word before it. Many words are
+        encoded at once and told apart by the ids that begin with a blank.
+        """
+        ends = {w for w in words if len(w) > 1 and w[-1] in FINAL_MARKS and w[-2].isalpha()}
+        plain = list((words - ends) | {b for b in (w[:-1] for w in ends) if b not in self.units})
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
+            spelt = [w if w[:1] == "\n" else " " + w for w in some]
+            ids = np.asarray(self.tokenizer.encode("".join(spelt), add_special_tokens=False).ids, "<u4")
             starts = np.flatnonzero(self.leads[ids]).tolist()
             if len(starts) == len(some) and starts[0] == 0:
                 raw = ids.tobytes()
-                ends = [4 * x for x in [*starts[1:], len(ids)]]
-                self.units.update((w, raw[4 * a : b]) for w, a, b in zip(some, starts, ends, strict=True))
+                cuts = [4 * x for x in [*starts[1:], len(ids)]]
+                self.units.update((w, raw[4 * a : b]) for w, a, b in zip(some, starts, cuts, strict=True))
             else:
-                self.units.update(zip(some, self.whole([" " + w for w in some]), strict=True))
+                self.units.update(zip(some, self.whole(spelt), strict=True))
+        self.units.update((w, self.units[w[:-1]] + self.marks[w[-1]]) for w in ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if not self.cuts or BLANK_SPACE.search(t)]
+        whole = [i for i, t in enumerate(texts) if not self.cuts or TWO_BLANKS.search(t)]
         out = dict(zip(whole, self.whole([texts[i] for i in whole]), strict=True))
-        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if i not in out]
+        cut = [(i, t.replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if i not in out]
         heads = self.whole([parts[0] for _, parts in cut])
         wanted = set()
         for _, parts in cut:
             wanted.update(parts[1:])
         new = wanted - self.units.keys()
         if len(self.units) + len(new) > self.max_units:
-            self.units.clear()
-            new = wanted
-        self.learn(list(new))
+            # Two generations: what is asked for again comes back from the older one.
+            self.older, self.units, new = self.units, {}, wanted
+        again = new & self.older.keys()
+        self.units.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
         known = self.units.__getitem__
         for (i, parts), head in zip(cut, heads, strict=True):
             out[i] = head + b"".join(map(known, parts[1:]))
