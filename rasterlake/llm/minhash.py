@@ -6,13 +6,11 @@ shingle sets, and linked texts form components.
 
 Texts with equal shingle sets are one class from the start. In a bucket, all
 classes are compared with a pivot, not with each other; components then tell
-which pairs are still open, and only those are compared.
+which pairs are still open, and those are compared, in crowded buckets by a prefix filter.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +24,7 @@ BANDS, ROWS = 32, 4
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: A bucket is compared pair by pair once its open pairs are at most so many times its classes.
 OPEN_PER_CLASS = 32
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
 _U = np.uint64
 _GOLD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -184,36 +182,73 @@ class NearDuplicates:
         self.rounds += 1
         return links
 
+    def _sharing(self, crowded: DataFrame) -> DataFrame:
+        """Pairs (a, b) for (rep, n, comp) rows of crowded buckets, by prefix filter.
+
+        In one order of all shingles, rarest first, two sets that are similar
+        enough share one among their first n - ceil(t n) + 1. Shingles that a
+        single class has lead no two together, so what many classes have in
+        common counts only for those that have little else.
+        """
+        (num, den), size = self.similarity, self.size
+
+        def run(batches):
+            shingler = Shingler(size)
+            for batch in batches:
+                for rep, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    s = shingler.shingles(text).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["rep", "n", "shingle"])
+
+        reps = crowded.select("rep", "comp").distinct()
+        texts = self._needed(self.docs, "doc_id", reps.select(F.col("rep").alias("doc_id")))
+        rows = self.scratch.save(texts.mapInArrow(run, "rep bigint, n bigint, shingle bigint").distinct(), "crowded")
+        shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        held = rows.join(shared, "shingle")
+        order = Window.partitionBy("rep", "n").orderBy("k", "shingle")
+        held = held.withColumn("place", F.row_number().over(order)).withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("rep", "n")))
+        prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("mine"))
+        held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", "shingle").join(reps, "rep"), "prefixes")
+        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("comp").alias(f"{c}c")) for c in "xy")
+        near = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & (F.col("xc") != F.col("yc")) & (F.col("x") > F.col("y"))
+        return x.join(y, (F.col("xs") == F.col("ys")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
     def components(self) -> DataFrame:
-        """(node, component) of the class representatives that have links."""
-        spark = self.docs.sparkSession
-        links: list[DataFrame] = []
+        """(node, component) of the class representatives that have links.
+
+        Every bucket is compared with its least class first, and once more with
+        a class picked by hash. By then components leave few pairs open in most
+        buckets, and those are compared; the rest goes through ``_sharing``.
+        """
+        num, den = self.similarity
         open_ = self.members.select("key", "rep", "n", F.col("rep").alias("comp"))
-        found = spark.createDataFrame([], "node bigint, component bigint")
-        while True:
-            turn = self.rounds
-            # The pivot: the least id first, then whichever a hash picks.
+        found = self.docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+        near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
+        for turn in range(PIVOT_ROUNDS + 1):
             order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("o"), F.col("rep").alias("pivot"), F.col("n").alias("pn"))).alias("p"))
-            buckets = parts.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("p").alias("p"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-            buckets = self.scratch.save(buckets.filter("comps > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left"), "p.pivot", "p.pn", "main"), f"buckets{turn}")
+            buckets = parts.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("p").alias("p"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+            buckets = self.scratch.save(buckets.filter("comps > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left"), "p.pivot", "p.pn", F.col("main.comp").alias("main")), f"buckets{turn}")
             if buckets.isEmpty():
-                return found
+                break
             held = self.scratch.save(open_.join(buckets, "key"), f"open{turn}")
-            num, den = self.similarity
-            near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
             few = (F.col("left") <= F.col("m") * OPEN_PER_CLASS) if turn else F.lit(False)
-            pivots = held.filter(~few & (F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-            # Bounded buckets: each class outside the main component meets the classes of other components.
-            small = held.filter(few)
-            outer = small.filter("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-            inner = small.select(F.col("key").alias("k2"), F.col("rep").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
-            direct = outer.join(inner, (F.col("key") == F.col("k2")) & (F.col("xc") != F.col("yc")) & near(F.col("xn"), F.col("yn"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-            links.append(self._compare((pivots.unionByName(direct) if turn else pivots).distinct()))
-            every = reduce(DataFrame.unionByName, links)
-            found = self.scratch.save(connected_components(every), f"found{turn}")
-            rest = held.filter(~few).select("key", "rep", "n")
+            small, crowded = held.filter(few), held.filter(~few)
+            if turn < PIVOT_ROUNDS:
+                pairs = crowded.filter((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+            else:
+                pairs = self._sharing(crowded)
+            if turn:
+                # Each class outside the main component meets the classes of other components.
+                outer = small.filter("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
+                inner = small.select(F.col("key").alias("k2"), F.col("rep").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
+                met = outer.join(inner, (F.col("key") == F.col("k2")) & (F.col("xc") != F.col("yc")) & near(F.col("xn"), F.col("yn")))
+                pairs = pairs.unionByName(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+            links = self._compare(pairs.distinct())
+            known = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            found = self.scratch.save(connected_components(known.unionByName(links)), f"found{turn}")
+            rest = crowded.select("key", "rep", "n")
             open_ = rest.join(found, rest["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        return found
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: one row per row of the documents."""
