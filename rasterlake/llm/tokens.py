@@ -99,11 +99,11 @@ class UnitEncoder:
         wanted = set()
         for _, parts in cut:
             wanted.update(parts[1:])
-        new = wanted - self.units.keys()
+        new = {w for w in wanted if w not in self.units}
         if len(self.units) + len(new) > self.max_units:
             # Two generations: what is asked for again comes back from the older one.
             self.older, self.units, new = self.units, {}, wanted
-        again = new & self.older.keys()
+        again = {w for w in new if w in self.older}
         self.units.update((w, self.older[w]) for w in again)
         self.learn(new - again)
         known = self.units.__getitem__

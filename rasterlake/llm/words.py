@@ -32,20 +32,22 @@ def lower_blank_words(text: str | None) -> list[bytes]:
 CACHED_WORDS = 400_000
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class WordHashes:
     """64-bit hashes of words, the same in every process; they are remembered."""
 
     def __init__(self, max_words: int = CACHED_WORDS):
-        self.max_words, self.known = max_words, {}
+        self.max_words, self.known = max_words, _Hashes()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        new = set(words) - known.keys()
-        if len(known) + len(new) > self.max_words:
-            known.clear()
-            new = set(words)
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
