@@ -233,6 +233,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
     index = PositionalIndex(docs, items, window)
-    hits = index.scratch.save(index.phrases().select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")), "hits")
-    keyed = docs.withColumn("_th", F.xxhash64("text"))
-    return keyed.join(small_side(hits), keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["_th"] == F.col("_t")), "left_anti").select(*docs.columns)
+    hits = index.scratch.save(index.phrases().select(F.col("doc_id").alias("__leak_id"), F.col("th").alias("__leak_hash")), "hits")
+    same = docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs["text"]) == F.col("__leak_hash"))
+    return docs.join(small_side(hits), same, "left_anti")

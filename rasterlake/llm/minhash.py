@@ -285,12 +285,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity:
     text, source and lang.
     """
     near = NearDuplicates(docs, size, similarity)
-    gone = near.scratch.save(near.result().filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(small_side(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near.scratch.save(near.result().filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    left = docs.join(small_side(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
     repeated = near.scratch.save(near.seen.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left
     few = small_side(repeated)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
-    once = left.join(few, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+    once = left.join(few, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
     return left.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -96,6 +96,32 @@ def _fold(units: Column, seed: int) -> Column:
     return F.aggregate(units, start, step)
 
 
+def _fold_heavy(units: Column, target: Column, size: Column, max_repeat: int, seed: int) -> Column:
+    """Heavy units against all smaller ones of their source, largest first.
+
+    Each meets what is left of the source as one composite: the unit becomes
+    integral by chance, and the composite takes the mass over, which keeps its
+    expectation. Where the chance would leave more or less than the rest can
+    make up for, the other way is taken.
+    """
+    kind = "array<struct<unit:bigint,copies:bigint>>"
+    state = f"struct<t:double,s:double,done:{kind}>"
+    start = F.struct(target.alias("t"), size.cast("double").alias("s"), F.expr(f"cast(array() as {kind})").alias("done")).cast(state)
+
+    def step(acc, x):
+        ratio = F.least(F.greatest(acc["t"] / acc["s"], F.lit(0.0)), F.lit(float(max_repeat)))
+        bounds = F.struct(
+            ratio.alias("r"), F.floor(ratio + EPSILON).alias("base"),
+            F.ceil((acc["t"] - max_repeat * (acc["s"] - x["mass"])) / x["mass"] - EPSILON).alias("low"), F.floor(acc["t"] / x["mass"] + EPSILON).alias("high"),
+        )
+        chance = lambda b: b["base"] + (_uniform(x["unit"], F.lit(seed)) < b["r"] - b["base"]).cast("int")
+        pick = lambda b: F.least(F.greatest(chance(b), F.least(b["low"], b["base"] + 1)), F.greatest(b["high"], b["base"])).cast("bigint")
+        after = lambda c: F.struct((acc["t"] - c * x["mass"]).alias("t"), (acc["s"] - x["mass"]).alias("s"), F.concat(acc["done"], F.array(F.struct(x["unit"].alias("unit"), c.alias("copies")))).alias("done")).cast(state)
+        return _let(_let(bounds, pick), after)
+
+    return F.aggregate(units, start, step)
+
+
 def _flip(x: Column, seed: int) -> Column:
     """The last residual of a source has nobody to meet: its hash decides."""
     return _uniform(x["unit"], F.lit(seed), F.lit("last")) < x["f"]
@@ -135,8 +161,9 @@ def mix_decisions(docs: DataFrame, seed: int = 7, max_repeat: int = MAX_REPEAT,
     * The random choices are hashes of ids and ``seed``: reruns agree.
 
     Units above 1 / HEAVY of their source (fewer than HEAVY of them) are rounded
-    first; the others then share what is left of the target. That keeps every
-    expectation, and the last residual is a light unit.
+    first; the others then share what is left of the target, so that the last
+    residual is a light unit. Expectations are kept but where a unit is so heavy
+    that the rest of its source could not make up for it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -156,18 +183,18 @@ def mix_decisions(docs: DataFrame, seed: int = 7, max_repeat: int = MAX_REPEAT,
         whole = F.floor(F.col("expected") + EPSILON)
         return df.withColumns({"whole": whole, "f": F.greatest(F.col("expected") - whole, F.lit(0.0))})
 
+    is_heavy = F.col("mass") * HEAVY > F.col("source_size")
+    each = F.struct((-F.col("mass")).alias("order"), "unit", F.col("mass").cast("double").alias("mass"))
+    heavy = units.filter(is_heavy).groupBy("tree").agg(F.array_sort(F.collect_list(each)).alias("xs"), F.first("target").alias("target"), F.first("source_size").alias("size"))
+    heavy = scratch.save(heavy.select("tree", _fold_heavy(F.col("xs"), F.col("target"), F.col("size"), max_repeat, seed).alias("y")), "heavy")
+    chosen = heavy.select(F.explode("y.done").alias("x")).select("x.unit", "x.copies")
+    left = heavy.select("tree", F.col("y.t").alias("left_target"), F.col("y.s").alias("left_size"))
+    heavy = units.filter(is_heavy).join(chosen, "unit")
+
+    light = units.filter(~is_heavy).join(F.broadcast(left) if small else left, "tree", "left")
+    light = shares(light, F.try_divide(F.coalesce("left_target", "target"), F.coalesce("left_size", "source_size")))
     x = F.struct("unit", F.col("mass").cast("double").alias("mass"), "f").alias("x")
     free = (F.col("f") > EPSILON) & (F.col("size") > 0)
-    heavy = shares(units.filter(F.col("mass") * HEAVY > F.col("source_size")), F.try_divide("target", "source_size"))
-    folded = scratch.save(_chunks(heavy.filter(free).select("tree", F.lit(0).alias("node"), x), seed), "heavy")
-    open_ = folded.select(F.explode("y.open").alias("x")).select("x.unit", _flip(F.col("x"), seed).alias("more"))
-    heavy = heavy.join(_settled(folded).unionByName(open_), "unit", "left")
-    heavy = scratch.save(heavy.withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(False)).cast("int")), "heavy-copies")
-    spent = heavy.groupBy("tree").agg(F.sum("mass").alias("heavy_size"), F.sum(F.col("mass") * F.col("copies")).alias("heavy_taken"))
-
-    light = units.filter(F.col("mass") * HEAVY <= F.col("source_size")).join(F.broadcast(spent) if small else spent, "tree", "left")
-    left = F.col("target") - F.coalesce("heavy_taken", F.lit(0))
-    light = shares(light, F.try_divide(left, F.col("source_size") - F.coalesce("heavy_size", F.lit(0))))
     # Level 0: hash chunks of about fan_in units of one source.
     chunk = F.pmod(F.xxhash64("unit", F.lit("chunk")), F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)))
     more = _reduce_tree(light.filter(free).select("tree", chunk.alias("node"), x), most or 1, fan_in, seed, scratch, "level")
@@ -185,7 +212,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 def mix_corpus(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (0 times: dropped)."""
-    made = mix_decisions(docs, **options).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies").filter("copies > 0")
-    keyed = docs.withColumn("_size", n_words(F.col("text")))
-    joined = keyed.join(made, keyed["doc_id"].eqNullSafe(made["_d"]) & keyed["source"].eqNullSafe(made["_s"]) & (keyed["_size"] == made["_n"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    made = mix_decisions(docs, **options).filter("copies > 0").select(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "copies")))
+    same = docs["doc_id"].eqNullSafe(F.col("__mix_doc_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (n_words(docs["text"]) == F.col("__mix_size"))
+    repeated = docs.join(made, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy"))
+    return repeated.drop("__mix_copy")

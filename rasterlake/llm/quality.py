@@ -198,8 +198,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    key = F.xxhash64("doc_id", "text", "source", "lang", F.col("doc_id").isNull())
-    bad = quality_scores(docs, labels, **options).filter(~F.col("kept")).select(F.col("key").alias("_bad")).distinct()
+    bad = quality_scores(docs, labels, **options).filter(~F.col("kept")).select(F.col("key").alias("__rejected")).distinct()
     bad = Scratch(docs.sparkSession, "rejected").save(bad, "keys")
-    keyed = docs.withColumn("_key", key)
-    return keyed.join(small_side(bad), F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    key = F.xxhash64(docs["doc_id"], docs["text"], docs["source"], docs["lang"], docs["doc_id"].isNull())
+    return docs.join(small_side(bad), key == F.col("__rejected"), "left_anti")
