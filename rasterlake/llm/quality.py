@@ -79,7 +79,7 @@ class QualityModel:
             p1, p0 = c / n1, seen[0][b] / n0
             p = (c + seen[0][b]) / (n1 + n0)
             z[b] = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-        return sorted((b for b in z if z[b] > 5 and seen[1][b] >= 8), key=lambda b: (-z[b], b))[:MAX_WORDS]
+        return sorted((b for b in z if z[b] > 4 and seen[1][b] >= 3), key=lambda b: (-z[b], b))[:MAX_WORDS]
 
     def good(self, texts: list[str]) -> np.ndarray:
         dense = np.clip((np.array([style(t) for t in texts]) - self.mean) / self.scale, -8, 8)
