@@ -8,6 +8,7 @@ batches in numpy, a pass being M P M'.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 from functools import cache
@@ -109,8 +110,8 @@ def synthesis_matrix(family: str, n: int) -> np.ndarray:
 
 def _apply(matrix: np.ndarray, signal: Column) -> Column:
     """matrix x signal, as sums over the non-zero entries in order of position; the matrix is one literal."""
-    entry = lambda row, p: F.struct(F.lit(p).alias("p"), F.lit(float(row[p])).alias("w"))
-    rows = F.array(*(F.array(*(entry(row, p) for p in np.flatnonzero(row).tolist() or [0])) for row in matrix))
+    entries = [[{"p": p, "w": float(row[p])} for p in np.flatnonzero(row).tolist()] for row in matrix]
+    rows = F.from_json(F.lit(json.dumps(entries)), "array<array<struct<p:int,w:double>>>")
     return F.transform(rows, lambda row: F.aggregate(row, F.lit(0.0), lambda total, e: total + F.get(signal, e["p"]) * e["w"]))
 
 
