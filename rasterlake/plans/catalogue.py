@@ -13,7 +13,7 @@ from ..functions import curves, halves, scalar
 from ..operators import codec, entropy, metrics, pixels, quantise, rle, wavelets
 from ..operators.quantise import Params
 from ..runtime import ship_package
-from ..sources import rasters
+from ..sources import rasters, synthetic
 from . import sweeps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,6 +391,24 @@ def rle_block_size_sweep(spark, d):
     return out.groupBy(F.col("stream.size").alias("size")).agg(F.sum("n_literals").alias("n_literals"), F.sum("n_blocks").alias("n_blocks"), F.sum("n_input").alias("n_input"))
 
 
+@query
+def rle_sparse_roundtrip(spark, d):
+    """Seeded sparse vectors, coded with every block size of the study and decoded."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for symbols in batch.column("symbols").to_pylist():
+                x = np.array(symbols)
+                coded = [rle.encode(x, 0, m) for m in (2, 4, 8, 16, 32, 64)]
+                out[0].append(all((rle.decode(a, 0, b) == x).all() for a, b in coded))
+                out[1].append(all(rle.encoded_length(b) == len(x) for _, b in coded))
+                out[2].append(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *map(pa.array, out)], names=["vec_id", "same", "whole", "n"])
+
+    return synthetic.sparse_vectors(spark, 100).mapInArrow(run, "vec_id bigint, same boolean, whole boolean, n bigint")
+
+
 def _coded(spark, d):
     """stream, n, n_symbols, code_bytes, entropy, same: each stream entropy-coded and decoded."""
     code = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("symbol"))
@@ -560,6 +578,14 @@ def path_parts(spark, d):
     )
 
 
+@query
+def command_options(spark, d):
+    """Words like ``-key=value`` of a command line, as a map."""
+    line = F.concat(F.lit("tool -in="), F.coalesce("url", F.lit("")), F.lit(" -quality=0.5 -diagnostics plain"))
+    m = scalar.parse_options(line)
+    return _table(spark, d, "pages").select("page_id", m["in"].alias("source"), m["quality"].alias("quality"), m["diagnostics"].alias("flag"), F.size(m).alias("n"))
+
+
 @query
 def first_mismatch(spark, d):
     """The first cell of each plane in which the quantised copy differs, or -1."""

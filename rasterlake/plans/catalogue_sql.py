@@ -281,6 +281,8 @@ select image_id, precinct, case when precinct = 0 then 0 when y < half then 0 wh
     "path_parts": rf"""with {_PATH}, f as (select *, regexp_extract(p, '[^/\\]*$') as filename from pp)
 select page_id, filename, regexp_replace(p, '[/\\]?[^/\\]*$', '') as parent, case when filename like '_%.%' then regexp_extract(filename, '.(\.[^.]*)$', 1) else '' end as extension,
   case when filename like '_%.%' then regexp_replace(p, '\.[^./\\]*$', '') else p end || '.exr' as as_exr, regexp_replace(p, '[^/\\]*$', '') || 'x' as renamed, lower(p) as lower from f""",
+    "rle_sparse_roundtrip": "select i as vec_id, true as same, true as whole, 1000 as n from range(0, 100) r(i)",
+    "command_options": "select page_id, coalesce(url, '') as source, '0.5' as quality, '' as flag, 3::bigint as n from pages",
     "first_mismatch": f"with {_PAIR} select image_id, c, coalesce(min(case when a <> r then y * 16 + x end), -1) as first_mismatch from pr group by image_id, c",
     "codec_decode": f"with {_EV} select distinct image_id, true as close from ev",
 }
