@@ -39,7 +39,7 @@ class DigestIndex:
     def digest(self, sha: Column) -> Column:
         return F.substring(sha, 1, self.digest_bytes)
 
-    def flush(self, docs: DataFrame, key: Column | None = None, memtable_rows: int = MEMTABLE_ROWS) -> None:
+    def flush(self, docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> None:
         """Add one level-0 run of ``docs`` (doc_id, text): equal (digest, id, length) entries are counted, not repeated."""
         text = F.coalesce("text", F.lit(""))
         sha = F.unhex(F.sha2(normalised(F.col("text")), 256))
