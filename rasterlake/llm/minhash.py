@@ -23,7 +23,7 @@ from .words import WordHashes, lower_blank_words, mix64
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: A bucket is compared pair by pair once its open pairs are at most so many times its classes.
-OPEN_PER_CLASS = 32
+OPEN_PER_CLASS = 4
 PIVOT_ROUNDS = 2
 
 _U = np.uint64
@@ -121,10 +121,12 @@ class NearDuplicates:
         self._buckets()
 
     def _buckets(self) -> None:
-        """members: (key, rep, n) of the buckets that hold more than one class."""
+        """members: (key, rep, n, degree) of the buckets that hold more than one class; ``degree`` is how many a class meets."""
         keyed = self.classes.select("rep", "n", F.explode("bands").alias("key"))
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        self.members = self.scratch.save(keyed.join(shared.select("key"), "key"), "members")
+        met = self.scratch.save(keyed.join(shared, "key"), "met")
+        degrees = met.groupBy("rep").agg(F.sum("m").alias("degree"))
+        self.members = self.scratch.save(met.drop("m").join(degrees, "rep"), "members")
 
     def _needed(self, df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         """The rows of ``df`` whose key is in ``wanted`` (a column of the same name)."""
@@ -188,7 +190,8 @@ class NearDuplicates:
         In one order of all shingles, rarest first, two sets that are similar
         enough share one among their first n - ceil(t n) + 1. Shingles that a
         single class has lead no two together, so what many classes have in
-        common counts only for those that have little else.
+        common counts only for those that have little else. And two sets can't be
+        similar if either has fewer shared shingles than their overlap needs.
         """
         (num, den), size = self.similarity, self.size
 
@@ -207,24 +210,26 @@ class NearDuplicates:
         order = Window.partitionBy("rep", "n").orderBy("k", "shingle")
         held = held.withColumn("place", F.row_number().over(order)).withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("rep", "n")))
         prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("mine"))
-        held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", "shingle").join(reps, "rep"), "prefixes")
-        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("comp").alias(f"{c}c")) for c in "xy")
-        near = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & (F.col("xc") != F.col("yc")) & (F.col("x") > F.col("y"))
+        held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", "mine", "shingle").join(reps, "rep"), "prefixes")
+        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("mine").alias(f"{c}m"), F.col("comp").alias(f"{c}c")) for c in "xy")
+        enough = F.least("xm", "ym") * (num + den) >= (F.col("xn") + F.col("yn")) * num
+        near = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & enough & (F.col("xc") != F.col("yc")) & (F.col("x") > F.col("y"))
         return x.join(y, (F.col("xs") == F.col("ys")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def components(self) -> DataFrame:
         """(node, component) of the class representatives that have links.
 
-        Every bucket is compared with its least class first, and once more with
-        a class picked by hash. By then components leave few pairs open in most
+        Every bucket is compared with its class of highest degree first (what
+        near copies were made from, if it is there), and once more with a class
+        picked by hash. By then components leave few pairs open in most
         buckets, and those are compared; the rest goes through ``_sharing``.
         """
         num, den = self.similarity
-        open_ = self.members.select("key", "rep", "n", F.col("rep").alias("comp"))
+        open_ = self.members.select("key", "rep", "n", "degree", F.col("rep").alias("comp"))
         found = self.docs.sparkSession.createDataFrame([], "node bigint, component bigint")
         near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
         for turn in range(PIVOT_ROUNDS + 1):
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+            order = -F.col("degree") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("o"), F.col("rep").alias("pivot"), F.col("n").alias("pn"))).alias("p"))
             buckets = parts.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("p").alias("p"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
             buckets = self.scratch.save(buckets.filter("comps > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left"), "p.pivot", "p.pn", F.col("main.comp").alias("main")), f"buckets{turn}")
@@ -246,8 +251,8 @@ class NearDuplicates:
             links = self._compare(pairs.distinct())
             known = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
             found = self.scratch.save(connected_components(known.unionByName(links)), f"found{turn}")
-            rest = crowded.select("key", "rep", "n")
-            open_ = rest.join(found, rest["rep"] == found["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+            rest = crowded.select("key", "rep", "n", "degree")
+            open_ = rest.join(found, rest["rep"] == found["node"], "left").select("key", "rep", "n", "degree", F.coalesce("component", "rep").alias("comp"))
         return found
 
     def result(self) -> DataFrame:
