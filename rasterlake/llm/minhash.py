@@ -25,6 +25,8 @@ SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: A bucket is compared pair by pair once its open pairs are at most so many times its classes.
 OPEN_PER_CLASS = 4
 PIVOT_ROUNDS = 2
+#: Pivots of a bucket in later rounds.
+PIVOTS = 4
 
 _U = np.uint64
 _GOLD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -190,8 +192,8 @@ class NearDuplicates:
         In one order of all shingles, rarest first, two sets that are similar
         enough share one among their first n - ceil(t n) + 1. Shingles that a
         single class has lead no two together, so what many classes have in
-        common counts only for those that have little else. And two sets can't be
-        similar if either has fewer shared shingles than their overlap needs.
+        common counts only for those that have little else. And what follows the
+        first shingle that two sets share must be enough for their overlap.
         """
         (num, den), size = self.similarity, self.size
 
@@ -210,9 +212,9 @@ class NearDuplicates:
         order = Window.partitionBy("rep", "n").orderBy("k", "shingle")
         held = held.withColumn("place", F.row_number().over(order)).withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("rep", "n")))
         prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("mine"))
-        held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", "mine", "shingle").join(reps, "rep"), "prefixes")
-        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("mine").alias(f"{c}m"), F.col("comp").alias(f"{c}c")) for c in "xy")
-        enough = F.least("xm", "ym") * (num + den) >= (F.col("xn") + F.col("yn")) * num
+        held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", (F.col("n") - F.col("mine") + F.col("place")).alias("at"), "shingle").join(reps, "rep"), "prefixes")
+        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("at").alias(f"{c}at"), F.col("comp").alias(f"{c}c")) for c in "xy")
+        enough = (1 + F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))) * (num + den) >= (F.col("xn") + F.col("yn")) * num
         near = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & enough & (F.col("xc") != F.col("yc")) & (F.col("x") > F.col("y"))
         return x.join(y, (F.col("xs") == F.col("ys")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -220,8 +222,8 @@ class NearDuplicates:
         """(node, component) of the class representatives that have links.
 
         Every bucket is compared with its class of highest degree first (what
-        near copies were made from, if it is there), and once more with a class
-        picked by hash. By then components leave few pairs open in most
+        near copies were made from, if it is there), and once more with the most
+        central ones of a few slots. By then components leave few pairs open in most
         buckets, and those are compared; the rest goes through ``_sharing``.
         """
         num, den = self.similarity
@@ -229,17 +231,21 @@ class NearDuplicates:
         found = self.docs.sparkSession.createDataFrame([], "node bigint, component bigint")
         near = lambda x, y: (F.least(x, y) * den >= F.greatest(x, y) * num)
         for turn in range(PIVOT_ROUNDS + 1):
-            order = -F.col("degree") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("o"), F.col("rep").alias("pivot"), F.col("n").alias("pn"))).alias("p"))
-            buckets = parts.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("p").alias("p"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-            buckets = self.scratch.save(buckets.filter("comps > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left"), "p.pivot", "p.pn", F.col("main.comp").alias("main")), f"buckets{turn}")
+            parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+            buckets = parts.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+            buckets = self.scratch.save(buckets.filter("comps > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("left"), F.col("main.comp").alias("main")), f"buckets{turn}")
             if buckets.isEmpty():
                 break
             held = self.scratch.save(open_.join(buckets, "key"), f"open{turn}")
             few = (F.col("left") <= F.col("m") * OPEN_PER_CLASS) if turn else F.lit(False)
             small, crowded = held.filter(few), held.filter(~few)
             if turn < PIVOT_ROUNDS:
-                pairs = crowded.filter((F.col("rep") != F.col("pivot")) & near(F.col("n"), F.col("pn"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+                # The most central class of each slot: one slot at first, then several.
+                slot = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS if turn else 1))
+                pivots = crowded.groupBy("key", slot.alias("slot")).agg(F.min(F.struct((-F.col("degree")).alias("order"), F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p"))
+                pivots = pivots.select(F.col("key").alias("k1"), "p.pivot", "p.pn", "p.pc")
+                met = crowded.join(pivots, (F.col("key") == F.col("k1")) & (F.col("comp") != F.col("pc")) & near(F.col("n"), F.col("pn")))
+                pairs = met.select(F.greatest("pivot", "rep").alias("a"), F.least("pivot", "rep").alias("b"))
             else:
                 pairs = self._sharing(crowded)
             if turn:
