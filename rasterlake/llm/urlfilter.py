@@ -85,11 +85,10 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         "prefix", F.substring("url_digest", 1, PREFIX_HEX)
     )
     hits = hashed.join(compiled, "prefix").filter(F.col("url_digest") == F.col("digest"))
-    best = hits.groupBy("_url").agg(
-        F.max(F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")).alias("best")
-    )
-    return keyed.join(best, keyed[url_col] == best["_url"], "left").select(
-        *keyed.columns,
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"),
+    order = F.struct(F.length("rule").alias("n"), (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")
+    best = hits.groupBy(F.col("_url").alias("__judged_url")).agg(F.max(order).alias("__judged"))
+    return keyed.join(best, keyed[url_col] == best["__judged_url"], "left").select(
+        *(keyed[c] for c in keyed.columns),
+        F.col("__judged.rule").alias("rule"),
+        F.coalesce("__judged.rule_verdict", F.lit(default)).alias("verdict"),
     )
