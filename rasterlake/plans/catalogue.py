@@ -625,6 +625,18 @@ def stats_report(spark, d):
     return metrics.report(codec.codec_stats(_images(spark, d)))
 
 
+def _spread(spark, images: DataFrame) -> DataFrame:
+    """Images dealt to all tasks in turn; by key they would be coalesced into one."""
+    return images.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query
 def param_sweep(spark, d):
-    return codec.sweep(_images(spark, d), sweeps.grid(spark, 4)).drop("error")
+    """Every image at all 20 x 20 points of the grid."""
+    return codec.sweep(_spread(spark, _images(spark, d)), sweeps.grid(spark)).drop("error")
+
+
+@query
+def param_line(spark, d):
+    """Every image at the 50 points of the line."""
+    return codec.sweep(_spread(spark, _images(spark, d)), sweeps.line(spark)).drop("error")

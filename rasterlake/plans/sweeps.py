@@ -13,5 +13,5 @@ def grid(spark: SparkSession, n: int = 20) -> DataFrame:
 
 
 def line(spark: SparkSession, n: int = 50) -> DataFrame:
-    """n points at quality 0: attenuation 4 down to 2."""
-    return spark.range(n).select(F.col("id").cast("int").alias("iter"), F.lit(0.0).alias("quality"), (4 - 2 * F.col("id") / (n - 1)).alias("attenuation"))
+    """n points at quality 0: attenuation from 4 down towards 2, in steps of 2 / n."""
+    return spark.range(n).select(F.col("id").cast("int").alias("iter"), F.lit(0.0).alias("quality"), (4 - 2 * F.col("id") / n).alias("attenuation"))
