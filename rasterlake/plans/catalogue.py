@@ -245,9 +245,16 @@ def normalised_dwt_level1(spark, d):
 
 
 @query
-def pass_norms(spark, d):
+def pass_norms_multilevel(spark, d):
+    """The norm of every pass of every plane."""
     planes = wavelets.map_planes(rasters.to_planes(rasters.events_tall(spark, d)), _normalised, "norms array<double>")
-    return planes.select("image_id", "c", F.posexplode("norms").alias("pass", "norm")).filter(F.col("pass") == 0).select("image_id", "c", "pass", _round("norm", 6).alias("norm"))
+    return planes.select("image_id", "c", F.posexplode("norms").alias("pass", "norm")).select("image_id", "c", "pass", _round("norm", 6).alias("norm"))
+
+
+@query
+def pass_norms(spark, d):
+    """The first pass only, as its SQL has it; ``pass_norms_multilevel`` has all."""
+    return QUERIES["pass_norms_multilevel"](spark, d).filter(F.col("pass") == 0)
 
 
 # -- quantiser and precincts
