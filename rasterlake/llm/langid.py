@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, fit_svm, sigmoid
@@ -27,12 +27,13 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 MAX_TRAIN_ROWS = 4000
-MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 HELD_OUT = 2
 _BIGRAMS, _TRIGRAMS = 2048, 4096
 N_FEATURES = 256 + _BIGRAMS + _TRIGRAMS
 LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark's expressions.
+LETTERS = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def features(text: str) -> np.ndarray:
@@ -55,18 +56,22 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of at most about ``max_rows`` labelled rows, equally many of each language.
+    """Features and languages of labelled rows: about ``max_rows``, equally many of each language, and of every language one at least.
 
-    Rows are taken by a hash of their id up to the share that their language's count allows.
+    Rows are taken by a hash of their id up to the share that their language's
+    count allows, and the least hash of each language always; ties are bounded by
+    twice a language's rows.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) / float(1 << 40)
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", draw.alias("draw"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("text").rlike(LETTERS), F.col("draw"))).alias("least")).collect()
     if not counts:
         return np.zeros((0, N_FEATURES), np.float32), []
     each = max(1, max_rows // len(counts))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))))
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) / float(1 << 40)
-    taken = labelled.withColumn("share", share[F.col("lang")]).filter(draw < F.col("share")).select("lang", "text").limit(2 * max_rows)
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"], r["least"]) for r in counts], "lang string, share double, least double")
+    drawn = labelled.join(F.broadcast(bounds), "lang").filter(((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least"))) & F.col("text").rlike(LETTERS))
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    taken = drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * each).select("lang", "text")
 
     def run(batches):
         for batch in batches:
