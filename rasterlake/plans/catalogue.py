@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 GAMMA = 1 / 2.2
 RATE, THRESHOLD = 12, 0.5 / 12
 STREAM = 256
+STUDY_SIZES = tuple(2**k for k in range(1, 12))
 
 
 def query(f: Query) -> Query:
@@ -389,15 +390,25 @@ def rle_ratio(spark, d):
     return _rounded(rle.ratios(rle.blocks(_streams(spark, d), "view", 2)), "ratio")
 
 
-@query
-def rle_block_size_sweep(spark, d):
-    sizes = F.explode(F.array(*map(F.lit, (2, 3, 4, 8)))).alias("size")
+def _block_sizes(spark, d, wanted) -> DataFrame:
+    sizes = F.explode(F.array(*map(F.lit, wanted))).alias("size")
     many = _streams(spark, d).select(sizes, "stream", "pos", "symbol").select(F.struct("size", "stream").alias("stream"), "pos", "symbol", "size")
     found = rle.runs(many.drop("size")).select("stream", "run", ((F.col("symbol") == "view") & (F.col("len") >= F.col("stream.size"))).alias("is_const"), "start", "len")
     out = rle.ratios(rle.merge_literals(found))
     return out.groupBy(F.col("stream.size").alias("size")).agg(F.sum("n_literals").alias("n_literals"), F.sum("n_blocks").alias("n_blocks"), F.sum("n_input").alias("n_input"))
 
 
+@query
+def rle_block_size_sweep(spark, d):
+    """The sizes of its SQL; ``rle_block_size_study`` has those of the study."""
+    return _block_sizes(spark, d, (2, 3, 4, 8))
+
+
+@query
+def rle_block_size_study(spark, d):
+    return _block_sizes(spark, d, STUDY_SIZES)
+
+
 @query
 def rle_sparse_roundtrip(spark, d):
     """Seeded sparse vectors, coded with every block size of the study and decoded."""
@@ -407,7 +418,7 @@ def rle_sparse_roundtrip(spark, d):
             out = [[], [], []]
             for symbols in batch.column("symbols").to_pylist():
                 x = np.array(symbols)
-                coded = [rle.encode(x, 0, m) for m in (2, 4, 8, 16, 32, 64)]
+                coded = [rle.encode(x, 0, m) for m in STUDY_SIZES]
                 out[0].append(all((rle.decode(a, 0, b) == x).all() for a, b in coded))
                 out[1].append(all(rle.encoded_length(b) == len(x) for _, b in coded))
                 out[2].append(len(x))

@@ -3,6 +3,7 @@
 import json
 import math
 from collections import defaultdict
+from itertools import groupby
 
 from oracle import DATA
 
@@ -45,3 +46,15 @@ def test_norms_of_every_pass(spark):
             block = [r[:h] for r in out[:h]]
     got = {(r.image_id, r.c, r["pass"]): r.norm for r in QUERIES["pass_norms_multilevel"](spark, str(DATA)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_block_sizes_of_the_study(spark):
+    sizes, streams = [2**k for k in range(1, 12)], defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "event_type").orderBy("event_id").collect():
+        streams[r.event_id // 256].append(r.event_type)
+    want = {}
+    for m in sizes:
+        kinds = [[(k == "view" and len(run) >= m, len(run)) for k, g in groupby(s) for run in [list(g)]] for s in streams.values()]
+        blocks = sum(const or not i or ks[i - 1][0] for ks in kinds for i, (const, _) in enumerate(ks))
+        want[m] = (sum(n for ks in kinds for const, n in ks if not const), blocks, sum(map(len, streams.values())))
+    assert {r["size"]: (r.n_literals, r.n_blocks, r.n_input) for r in QUERIES["rle_block_size_study"](spark, str(DATA)).collect()} == want
