@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .linear import fit_logistic, sigmoid
 from .scratch import Scratch, small_side
 from .words import alnum_words, blank_words
@@ -82,13 +83,15 @@ class QualityModel:
         return sorted((b for b in z if z[b] > 4 and seen[1][b] >= 3), key=lambda b: (-z[b], b))[:MAX_WORDS]
 
     def good(self, texts: list[str]) -> np.ndarray:
+        """The chance that each text is good; the words of one text at a time are held."""
         dense = np.clip((np.array([style(t) for t in texts]) - self.mean) / self.scale, -8, 8)
-        found, p = [buckets(t) for t in texts], np.ones(len(texts))
-        for place, w in self.heads:
-            k = dense.shape[1]
-            z = dense @ w[:k] + w[-1] + np.array([sum(w[k + place[b]] for b in f & place.keys()) for f in found])
-            p *= 1 - sigmoid(z)
-        return p
+        k = dense.shape[1]
+        z = np.stack([dense @ w[:k] + w[-1] for _, w in self.heads])
+        for i, t in enumerate(texts):
+            found = buckets(t)
+            for h, (place, w) in enumerate(self.heads):
+                z[h, i] += sum(w[k + place[b]] for b in sorted(found & place.keys()))
+        return np.prod(1 - sigmoid(z), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> QualityModel | None:
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Q
     texts = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "quality", "toxic", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             t = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), batch.column("toxic"), pa.array([style(x) for x in t], pa.list_(pa.float64())), pa.array([np.array(sorted(buckets(x)), "<u4").tobytes() for x in t], pa.binary())],
@@ -124,6 +127,12 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def posterior(good, n, strength: float, prior: Column) -> Column:
+    """The rate of a site with ``good`` of ``n``, shrunk to ``prior``, which counts as ``strength`` documents."""
+    good, n = (F.col(c) if isinstance(c, str) else c for c in (good, n))
+    return (good + strength * prior) / (n + strength)
+
+
 def _strength(sites: DataFrame, parent: Column) -> float:
     """How many documents the prior counts for: rate spread between sites against that of documents within one.
 
@@ -150,7 +159,7 @@ def evidence(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN
     keys = docs.select("doc_id", "source", "lang", F.xxhash64("doc_id", "text", "source", "lang", F.col("doc_id").isNull()).alias("key"), "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             p = np.full(len(texts), 0.5) if model.value is None else model.value.good(texts) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "key")), pa.array(p, pa.float64())], names=["doc_id", "source", "lang", "key", "doc_good"])
@@ -166,7 +175,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX
       document scores 0.5 and is kept.
     * Null text counts as empty; null source or lang is a site of its own; an
       empty table gives an empty result.
-    * Equal texts on one path get equal scores.
+    * Equal texts on one path get equal scores. ``host_good`` and ``path_good``
+      leave the document itself out: one alone on its path has its host's, one
+      alone on its host the global rate.
+    * Texts of any length are scored whole, one at a time where they are long;
+      other columns are not read.
 
     Sums are partial per task, so a hot host costs one row per task and path.
     """
@@ -183,14 +196,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX
     total = hosts.agg(*sums).first()
     base = float(total.good / total.n) if total.n else 0.5
     host_k = _strength(hosts, F.lit(base))
-    hosts = hosts.select(F.col("source").alias("_s"), ((F.col("good") + host_k * base) / (F.col("n") + host_k)).alias("host_good"))
+    hosts = hosts.select(F.col("source").alias("_s"), F.col("good").alias("host_sum"), F.col("n").alias("host_n"), posterior("good", "n", host_k, F.lit(base)).alias("host_rate"))
     hosts = scratch.save(hosts, "hosts")
     paths = paths.join(hosts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    path_k = _strength(paths, F.col("host_good"))
-    paths = paths.withColumn("path_good", (F.col("good") + path_k * F.col("host_good")) / (F.col("n") + path_k))
-    sites = scratch.save(paths.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), "host_good", "path_good"), "sites")
+    path_k = _strength(paths, F.col("host_rate"))
+    sites = scratch.save(paths.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), "host_sum", "host_n", F.col("good").alias("path_sum"), F.col("n").alias("path_n")), "sites")
     side = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
     joined = seen.join(side, seen["source"].eqNullSafe(F.col("_s")) & seen["lang"].eqNullSafe(F.col("_l")))
+    own = F.round("doc_good", 6)
+    joined = joined.withColumn("host_good", posterior(F.col("host_sum") - own, F.col("host_n") - 1, host_k, F.lit(base)))
+    joined = joined.withColumn("path_good", posterior(F.col("path_sum") - own, F.col("path_n") - 1, path_k, F.col("host_good")))
     score = 1 / (1 + F.exp(-(_logit(F.col("doc_good")) + _logit(F.col("path_good")) - _logit(F.lit(base)))))
     scored = joined.withColumn("quality", score)
     return scored.select("doc_id", "doc_good", "host_good", "path_good", "quality", (F.col("quality") >= threshold - 1e-9).alias("kept"), "key")

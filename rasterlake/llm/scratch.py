@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A writing task holds at most about so many bytes of rows.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one if all tasks run on this machine."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rasterlake-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -33,7 +38,7 @@ class Scratch:
     def save(self, df: DataFrame, table: str, **options) -> DataFrame:
         """Write ``df`` and return the written table."""
         schema = df.schema
-        df.write.options(**options).mode("overwrite").parquet(self.path(table))
+        df.write.options(**{"parquet.block.size": str(ROW_GROUP_BYTES)} | options).mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:

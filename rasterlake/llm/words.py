@@ -29,7 +29,9 @@ def lower_blank_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+#: Words at a time: what the cache holds beyond its bound for a moment.
+_CHUNK = 50_000
 
 
 class _Hashes(dict):
@@ -39,15 +41,19 @@ class _Hashes(dict):
 
 
 class WordHashes:
-    """64-bit hashes of words, the same in every process; they are remembered."""
+    """64-bit hashes of words, the same in every process; up to ``max_words`` are remembered, also within a text."""
 
     def __init__(self, max_words: int = CACHED_WORDS):
         self.max_words, self.known = max_words, _Hashes()
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        out = np.empty(len(words), np.uint64)
+        for at in range(0, len(words), _CHUNK):
+            some = words[at : at + _CHUNK]
+            if len(self.known) > self.max_words:
+                self.known.clear()
+            out[at : at + len(some)] = np.fromiter(map(self.known.__getitem__, some), np.uint64, len(some))
+        return out
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -62,14 +63,67 @@ def test_quality_edges(spark, make):
     assert quality.keep_good(make(rows, clash=True), one).count() == 4
 
 
-def test_sparse_sites_lean_on_their_host(spark, make, monkeypatch):
-    """Posteriors: a path with few documents lies between its own rate and its host's."""
-    rows = [(i, "good", "en", "h1") for i in range(200)] + [(300 + i, "bad", "en", "h2") for i in range(200)] + [(600, "bad", "fr", "h1")]
-    fake = lambda docs, labels, n: docs.select("doc_id", "source", "lang", F.xxhash64("doc_id", "text", "source", "lang", F.col("doc_id").isNull()).alias("key"), F.when(F.col("text") == "good", 0.9).otherwise(0.1).alias("doc_good"))
+def brute_posteriors(rows, p):
+    """Host and path posteriors of each row in plain Python, the row itself left out."""
+    p = [round(v, 6) for v in p]
+    hosts, paths = {}, {}
+    for (_, _, lang, source), v in zip(rows, p, strict=True):
+        hosts.setdefault(source, []).append(v)
+        paths.setdefault((source, lang), []).append(v)
+    n, base = len(p), sum(p) / len(p)
+
+    def strength(sites, parents):
+        k = len(sites)
+        if k < 2 or n <= k:
+            return quality.MAX_STRENGTH
+        between = sum(len(s) * (sum(s) / len(s) - m) ** 2 for s, m in zip(sites, parents, strict=True))
+        within = sum(sum(round(v * v, 6) for v in s) - len(s) * (sum(s) / len(s)) ** 2 for s in sites)
+        v = (between - (k - 1) * within / (n - k)) / n
+        return min(quality.MAX_STRENGTH, max(quality.MIN_STRENGTH, base * (1 - base) / v - 1)) if v > 1e-12 else quality.MAX_STRENGTH
+
+    host_k = strength(list(hosts.values()), [base] * len(hosts))
+    rate = {h: (sum(s) + host_k * base) / (len(s) + host_k) for h, s in hosts.items()}
+    path_k = strength(list(paths.values()), [rate[h] for h, _ in paths])
+    out = []
+    for (i, _, lang, source), v in zip(rows, p, strict=True):
+        h, s = hosts[source], paths[(source, lang)]
+        host = (sum(h) - v + host_k * base) / (len(h) - 1 + host_k)
+        path = (sum(s) - v + path_k * host) / (len(s) - 1 + path_k)
+        odds = [math.log(x / (1 - x)) for x in (v, path, base)]
+        out.append((i, host, path, 1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2])))))
+    return out
+
+
+def test_posteriors_are_those_of_plain_python(make, monkeypatch):
+    """Hot, sparse and single sites, null hosts and paths; a document doesn't confirm itself."""
+    rng = random.Random(8)
+    sites = [("h1", "en", 0.9, 200), ("h1", "fr", 0.3, 3), ("h2", "en", 0.2, 90), ("h2", None, 0.6, 20), (None, "en", 0.5, 7), (None, None, 0.8, 2), ("one", "de", 0.05, 1)]
+    rows, p = [], []
+    for source, lang, rate, n in sites:
+        for _ in range(n):
+            p.append(round(min(0.999, max(0.001, rng.gauss(rate, 0.1))), 4))
+            rows.append((len(rows), str(p[-1]), lang, source))
+    chance = F.col("text").cast("double").alias("doc_good")
+    fake = lambda docs, labels, n: docs.select("doc_id", "source", "lang", F.xxhash64("doc_id", "text", "source", "lang", F.col("doc_id").isNull()).alias("key"), chance)
     monkeypatch.setattr(quality, "evidence", fake)
-    out = {r.doc_id: r for r in quality.quality_scores(make(rows), None).collect()}
-    assert out[0].host_good > 0.8 and out[300].host_good < 0.2
-    assert 0.1 < out[600].path_good <= out[0].host_good
+    got = sorted((r.doc_id, r.host_good, r.path_good, r.quality) for r in quality.quality_scores(make(rows), None).collect())
+    want = brute_posteriors(rows, p)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert [x for r in got for x in r[1:]] == pytest.approx([x for r in want for x in r[1:]], abs=1e-9)
+    alone = got[-1]
+    assert alone[2] == pytest.approx(alone[1]) and alone[1] == pytest.approx(sum(p) / len(p))
+
+
+def test_scores_of_long_texts_and_ties(spark, make):
+    """A text is scored alike whatever it is batched with; equal texts on one path tie."""
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(i, f"plain good text number {i % 3}" if i % 2 else "toxic junk junk !!", "en", "s") for i in range(200)]
+    rows += [(900, " ".join(words), "en", "s"), (901, "plain good text number 1", "en", "s"), (901, "plain good text number 1", "en", "s"), (902, "", "en", "s"), (903, None, "en", "s")]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(150)], "doc_id bigint, quality int, toxic int")
+    a = {r.doc_id: r for r in quality.quality_scores(make(rows, clash=True), labels).collect()}
+    b = {r.doc_id: r for r in quality.quality_scores(make(rows).repartition(9), labels).collect()}
+    assert {k: (r.doc_good, r.quality) for k, r in a.items()} == {k: (r.doc_good, r.quality) for k, r in b.items()}
+    assert a[1].quality == a[901].quality and a[902].quality == a[903].quality and 0 <= a[900].quality <= 1
 
 
 RULES = "host string, path string, verdict string"
