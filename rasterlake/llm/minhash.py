@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import binaries, slices
 from .components import connected_components
 from .scratch import Scratch, small_side
 from .words import WordHashes, lower_blank_words, mix64
@@ -27,6 +28,8 @@ OPEN_PER_CLASS = 4
 PIVOT_ROUNDS = 2
 #: Pivots of a bucket in later rounds.
 PIVOTS = 4
+#: So many partners of one class are compared by a task; more are dealt to several.
+PARTNERS = 64
 
 _U = np.uint64
 _GOLD, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -84,25 +87,23 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(size)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                sets = [shingler.shingles(t) for t in part.column("text").to_pylist()]
-                full = [s for s in sets if len(s)]
-                m = minima(full, a, b) if full else np.empty((0, bands * rows), np.uint32)
-                keys, sig = band_keys(m, bands, rows).view(np.int64).tolist(), (m & np.uint32(0xFFFF)).astype("<u2")
-                prints = [(int(s.sum().view(np.int64)), int(mix64(s).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
-                place, k = [], 0
-                for s in sets:
-                    place.append(k if len(s) else None)
-                    k += bool(len(s))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                        pa.array([None if i is None else keys[i] for i in place], pa.list_(pa.int64())), pa.array([None if i is None else sig[i].tobytes() for i in place], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "f1", "f2", "bands", "sig"],
-                )
+        for part in slices(batches):
+            sets = [shingler.shingles(t) for t in part.column("text").to_pylist()]
+            full = [s for s in sets if len(s)]
+            m = minima(full, a, b) if full else np.empty((0, bands * rows), np.uint32)
+            keys, sig = band_keys(m, bands, rows).view(np.int64).tolist(), (m & np.uint32(0xFFFF)).astype("<u2")
+            prints = [(int(s.sum().view(np.int64)), int(mix64(s).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
+            place, k = [], 0
+            for s in sets:
+                place.append(k if len(s) else None)
+                k += bool(len(s))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
+                    pa.array([None if i is None else keys[i] for i in place], pa.list_(pa.int64())), pa.array([None if i is None else sig[i].tobytes() for i in place], pa.binary()),
+                ],
+                names=["doc_id", "n", "f1", "f2", "bands", "sig"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
 
@@ -140,9 +141,7 @@ class NearDuplicates:
         t = num / den
 
         def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in slices(batches, "sa", rows=4000):
                 na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 k = sa.shape[1]
@@ -155,34 +154,62 @@ class NearDuplicates:
         right = sides.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
+    def _sets(self, wanted: DataFrame, table: str) -> DataFrame:
+        """(doc_id, shingles): the whole shingle sets of the wanted ids, written once."""
+        size = self.size
+
+        def run(batches):
+            shingler = Shingler(size)
+            for part in slices(batches):
+                sets = [shingler.shingles(t).astype("<u8").tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+        return self.scratch.save(self._needed(self.docs, "doc_id", wanted).mapInArrow(run, "doc_id bigint, shingles binary").distinct(), table)
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Links among the pairs (a, b), on full shingle sets."""
-        (num, den), size = self.similarity, self.size
+        """Links among the pairs (a, b), on full shingle sets.
+
+        A class that meets others is sent once to each task that compares it with
+        ``PARTNERS`` of them or so; the sets of a task come in its order and are
+        held one class at a time.
+        """
+        num, den = self.similarity
 
         def run(batches):
-            shingler, held = Shingler(size), (None, None)
-            for batch in batches:
-                fine = []
-                for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                    if held[0] != ta:
-                        held = (ta, shingler.shingles(ta))
-                    x, y = held[1], shingler.shingles(tb)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    fine.append(both > 0 and both * den >= num * (len(x) + len(y) - both))
-                yield batch.filter(pa.array(fine, pa.bool_())).select(["u", "v"])
+            key, mine = None, []
+            for part in slices(batches, "shingles", rows=2000):
+                u, v = [], []
+                for a, some, b, x in zip(*(part.column(c).to_pylist() for c in ("a", "some", "b")), binaries(part.column("shingles"), "<u8"), strict=True):
+                    if b is None:
+                        if key != (a, some):
+                            key, mine = (a, some), []
+                        mine.append(x.copy())
+                        continue
+                    for y in mine:
+                        low, high = (x, y) if len(x) < len(y) else (y, x)
+                        at = np.searchsorted(high, low)
+                        at[at == len(high)] = 0
+                        both = int(np.count_nonzero(high[at] == low)) if len(high) else 0
+                        if both and both * den >= num * (len(x) + len(y) - both):
+                            u.append(a)
+                            v.append(b)
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.scratch.save(self._needed(self.docs, "doc_id", ends), f"texts{self.rounds}")
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        full = pairs.join(right, "b").join(left, "a").select(F.col("a").alias("u"), F.col("b").alias("v"), "ta", "tb")
-        return full.mapInArrow(run, "u bigint, v bigint").distinct()
+        sets = self._sets(ends, f"sets{self.rounds}")
+        heavy = pairs.groupBy(F.col("a").alias("h")).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).filter("parts > 1")
+        dealt = pairs.join(small_side(heavy), F.col("a") == F.col("h"), "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("some"), "b")
+        left = dealt.select("a", "some").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "some", F.lit(None).cast("bigint").alias("b"), "shingles")
+        right = dealt.join(sets, F.col("b") == F.col("doc_id")).select("a", "some", "b", "shingles")
+        ordered = left.unionByName(right).repartition("a", "some").sortWithinPartitions("a", "some", F.col("b").asc_nulls_first())
+        return ordered.mapInArrow(run, "u bigint, v bigint").distinct()
 
     def _compare(self, pairs: DataFrame) -> DataFrame:
         """Write the links among new candidate pairs."""
         pairs = self.scratch.save(self._estimated(pairs), f"pairs{self.rounds}")
         links = self.scratch.save(self._verified(pairs), f"links{self.rounds}")
-        self.scratch.drop(f"texts{self.rounds}")
+        self.scratch.drop(f"sets{self.rounds}")
         self.rounds += 1
         return links
 
@@ -199,8 +226,8 @@ class NearDuplicates:
 
         def run(batches):
             shingler = Shingler(size)
-            for batch in batches:
-                for rep, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for part in slices(batches):
+                for rep, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     s = shingler.shingles(text).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rep)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["rep", "n", "shingle"])
 
@@ -213,10 +240,14 @@ class NearDuplicates:
         held = held.withColumn("place", F.row_number().over(order)).withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("rep", "n")))
         prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.col("mine"))
         held = self.scratch.save(held.filter(F.col("place") <= prefix).select("rep", "n", (F.col("n") - F.col("mine") + F.col("place")).alias("at"), "shingle").join(reps, "rep"), "prefixes")
-        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("at").alias(f"{c}at"), F.col("comp").alias(f"{c}c")) for c in "xy")
+        # The larger set of a pair is in the size group of the smaller one or the next above it.
+        step = float(np.log(den / num)) * (1 + 1e-9) if num < den else 1.0
+        group = F.floor(F.log(F.col("n").cast("double")) / step)
+        x, y = (held.select(F.col("shingle").alias(f"{c}s"), F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("at").alias(f"{c}at"), F.col("comp").alias(f"{c}c"), g.alias(f"{c}g")) for c, g in (("x", group), ("y", F.explode(F.array(group, group + 1)))))
         enough = (1 + F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))) * (num + den) >= (F.col("xn") + F.col("yn")) * num
-        near = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & enough & (F.col("xc") != F.col("yc")) & (F.col("x") > F.col("y"))
-        return x.join(y, (F.col("xs") == F.col("ys")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") > F.col("y")))
+        near = (F.col("yn") * den >= F.col("xn") * num) & enough & (F.col("xc") != F.col("yc")) & larger
+        return x.join(y, (F.col("xs") == F.col("ys")) & (F.col("xg") == F.col("yg")) & near).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
     def components(self) -> DataFrame:
         """(node, component) of the class representatives that have links.
