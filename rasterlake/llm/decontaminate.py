@@ -17,19 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .scratch import Scratch, small_side
 from .words import alnum_words as words_of
 
 WINDOW = 10
 RAREST = 3
-#: Terms that are sent to every task; beyond this they are joined by shuffle.
+#: Terms (and their bytes) that are sent to every task; beyond this they are joined by shuffle.
 BROADCAST_TERMS = 500_000
+BROADCAST_BYTES = 32 << 20
+#: Words of an item in one row.
+CHUNK_WORDS = 5000
+COUNTED_TERMS = 300_000
+
 
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-_ITEM_TERMS = pa.schema([("item", pa.int64()), ("ipos", pa.int32()), ("term", pa.binary()), ("words", pa.binary()), ("item_id", pa.string())])
+_ITEMS = pa.schema([("item", pa.int64()), ("item_id", pa.string()), ("words", pa.binary())])
+_ITEM_TERMS = pa.schema([("item", pa.int64()), ("ipos", pa.int32()), ("term", pa.binary())])
 _STATS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("term", pa.binary()), ("n", pa.int64())])
 _POSTINGS = pa.schema([("term", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
@@ -40,40 +47,62 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in schema)
 
 
-def explode_items(items: DataFrame) -> DataFrame:
-    """(item, ipos, term, words, item_id): a row per word of each distinct (item_id, text)."""
+def split_items(items: DataFrame) -> DataFrame:
+    """(item, item_id, words): one row per distinct (item_id, text) that has words; ``words`` are joined by one space."""
 
     def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for key, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text")), strict=True):
-                words = words_of(text)
-                joined = b" ".join(words)
-                for col, values in zip(out, ([key] * len(words), range(len(words)), words, [joined] * len(words), [item_id] * len(words)), strict=True):
-                    col.extend(values)
-            yield _rows(_ITEM_TERMS, *out)
+        for part in slices(batches):
+            words = [b" ".join(words_of(t)) for t in part.column("text").to_pylist()]
+            made = _rows(_ITEMS, part.column("item").to_pylist(), part.column("item_id").to_pylist(), words)
+            yield made.filter(pa.array([bool(w) for w in words], pa.bool_()))
 
     keyed = items.select(F.xxhash64("item_id", "text").alias("item"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    return keyed.dropDuplicates(["item"]).mapInArrow(run, _ddl(_ITEM_TERMS))
+    return keyed.dropDuplicates(["item"]).mapInArrow(run, _ddl(_ITEMS))
+
+
+def explode_items(items: DataFrame) -> DataFrame:
+    """(item, ipos, term): a row per word of each of ``split_items``."""
+
+    def run(batches):
+        for part in slices(batches, "words"):
+            for item, joined in zip(part.column("item").to_pylist(), part.column("words").to_pylist(), strict=True):
+                words = joined.split(b" ")
+                for at in range(0, len(words), CHUNK_WORDS):
+                    some = words[at : at + CHUNK_WORDS]
+                    yield _rows(_ITEM_TERMS, [item] * len(some), range(at, at + len(some)), some)
+
+    return items.mapInArrow(run, _ddl(_ITEM_TERMS))
+
+
+def places_of(words: list[bytes], counts: list[int], window: int, rarest: int) -> list[int]:
+    """The places to look up, so that each window has its ``rarest`` rarest among them.
+
+    A window whose words are those of an earlier one of the item needs none: it
+    is found wherever the earlier one is.
+    """
+    size, seen, places = min(window, len(words)), set(), set()
+    for a in range(len(words) - size + 1):
+        run = tuple(words[a : a + size])
+        if run not in seen:
+            seen.add(run)
+            places.update(sorted(range(a, a + size), key=lambda i: (counts[i], i))[:rarest])
+    return sorted(places)
 
 
 def rarest_places(item_terms: DataFrame, frequency: DataFrame, window: int, rarest: int) -> DataFrame:
-    """(item, ipos, term, need): the places to look up, so that each window has its ``need`` rarest among them."""
+    """(item, ipos, term, need): the places to look up; an item's words meet in one row."""
     ranked = item_terms.select("item", "ipos", "term").join(frequency, "term", "left").select("item", F.struct("ipos", "term", F.coalesce("n", F.lit(0)).alias("n")).alias("w"))
     lists = ranked.groupBy("item").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    lists = lists.select("item", F.col("ws.term").alias("terms"), F.col("ws.n").alias("counts"))
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for item, ws in zip(batch.column("item").to_pylist(), batch.column("ws").to_pylist(), strict=True):
-                size, places = min(window, len(ws)), set()
-                for a in range(len(ws) - size + 1):
-                    best = sorted(range(a, a + size), key=lambda i: (ws[i]["n"], i))
-                    places.update(best[: min(rarest, size)])
-                for i in sorted(places):
-                    for col, v in zip(out, (item, ws[i]["ipos"], ws[i]["term"], min(rarest, size)), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)], names=["item", "ipos", "term", "need"])
+            for item, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("item", "terms", "counts")), strict=True):
+                at = places_of(terms, counts, window, rarest)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([terms[i] for i in at], pa.binary()), pa.array([min(rarest, window, len(terms))] * len(at), pa.int32())],
+                    names=["item", "ipos", "term", "need"],
+                )
 
     return lists.mapInArrow(run, "item bigint, ipos int, term binary, need int")
 
@@ -85,25 +114,32 @@ class PositionalIndex:
         self.spark, self.window = docs.sparkSession, window
         self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
         self.scratch = Scratch(self.spark, "decontaminate")
-        self.item_terms = self.scratch.save(explode_items(items), "items")
+        self.sent = []
+        self.items = self.scratch.save(split_items(items), "items")
+        self.item_terms = self.scratch.save(explode_items(self.items), "item_terms")
         terms = self.item_terms.select("term").distinct()
         stats = self.scratch.save(self._count(terms), "stats")
         self.lengths = stats.filter("n_words is not null").select("doc_id", "th", "n_words")
         frequency = stats.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
         self.places = self.scratch.save(rarest_places(self.item_terms, frequency, window, rarest), "places")
         self.postings = self.scratch.save(self._post(self.places.select("term").distinct()), "postings")
+        for sent in self.sent:
+            sent.unpersist()
 
     def _wanted(self, terms: DataFrame):
         """The terms as a set for every task where there are few of them, else None."""
-        few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        return self.spark.sparkContext.broadcast(frozenset(bytes(r.term) for r in terms.toLocalIterator())) if few else None
+        n, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+        if n > BROADCAST_TERMS or size > BROADCAST_BYTES:
+            return None
+        self.sent.append(self.spark.sparkContext.broadcast(frozenset(bytes(r.term) for r in terms.toLocalIterator())))
+        return self.sent[-1]
 
     def _count(self, terms: DataFrame) -> DataFrame:
         wanted = self._wanted(terms)
 
         def run(batches):
             total, keep = Counter(), wanted and wanted.value
-            for batch in batches:
+            for batch in slices(batches):
                 lengths = []
                 for text in batch.column("text").to_pylist():
                     words = words_of(text)
@@ -111,7 +147,7 @@ class PositionalIndex:
                     total.update(words if keep is None else filter(keep.__contains__, words))
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(lengths, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=_STATS)
-                if len(total) > 1_000_000:
+                if len(total) > COUNTED_TERMS:
                     yield _rows(_STATS, *[[None] * len(total)] * 3, list(total), list(total.values()))
                     total = Counter()
             yield _rows(_STATS, *[[None] * len(total)] * 3, list(total), list(total.values()))
@@ -124,21 +160,19 @@ class PositionalIndex:
 
         def run(batches):
             keep = wanted and wanted.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    out = [[], [], [], []]
-                    for doc_id, th, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-                        words = words_of(text)
-                        if keep is not None and keep.isdisjoint(words):
-                            continue
-                        for i, w in enumerate(words):
-                            if keep is None or w in keep:
-                                out[0].append(w)
-                                out[1].append(doc_id)
-                                out[2].append(th)
-                                out[3].append(i)
-                    yield _rows(_POSTINGS, *out)
+            for part in slices(batches):
+                out = [[], [], [], []]
+                for doc_id, th, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+                    words = words_of(text)
+                    if keep is not None and keep.isdisjoint(words):
+                        continue
+                    for i, w in enumerate(words):
+                        if keep is None or w in keep:
+                            out[0].append(w)
+                            out[1].append(doc_id)
+                            out[2].append(th)
+                            out[3].append(i)
+                yield _rows(_POSTINGS, *out)
 
         posted = self.docs.mapInArrow(run, _ddl(_POSTINGS))
         return posted if wanted else posted.join(terms, "term", "left_semi")
@@ -162,52 +196,69 @@ class PositionalIndex:
         spans = F.explode(F.array(F.floor(F.col("shift") / span) * 2, F.floor((F.col("shift") + slop) / span) * 2 + 1)).alias("span")
         near = self.shifted().select("doc_id", "th", "item", "ipos", "need", spans)
         near = near.groupBy("doc_id", "th", "item", "span").agg(F.count_distinct("ipos").alias("n"), F.max("need").alias("need")).filter("n >= need")
-        names = self.item_terms.filter("ipos = 0").select("item", "item_id")
+        names = self.items.select("item", "item_id")
         return near.select("doc_id", "th", "item").distinct().join(names, "item").select("doc_id", "th", "item_id")
 
     def phrases(self) -> DataFrame:
-        """(doc_id, th, n_hit, items, starts, ends): exact matches, with word spans, of documents that have any."""
-        found = self.scratch.save(self.candidates(), "candidates")
-        names = self.item_terms.filter("ipos = 0").select("item", "item_id", "words")
-        per_doc = found.join(names, "item").groupBy("doc_id", "th").agg(F.collect_list(F.struct("shift", "item_id", "words")).alias("places"))
-        docs = self.docs
+        """(doc_id, th, n_hit, items, starts, ends): exact matches, with word spans, of documents that have any.
+
+        A document's text comes first, then its items, one row each; a task
+        holds one document and one item at a time.
+        """
+        shifts = self.candidates().groupBy("doc_id", "th", "item").agg(F.collect_list("shift").alias("shifts"))
+        found = self.scratch.save(shifts, "candidates")
+        places = found.join(self.items, "item").select("doc_id", "th", "item_id", F.lit(None).cast("string").alias("text"), "words", "shifts")
         keys = found.select(F.xxhash64("doc_id", "th").alias("k")).distinct()
-        docs = docs.withColumn("k", F.xxhash64("doc_id", "th")).join(small_side(keys), "k", "left_semi").drop("k")
-        per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "places")
-        joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(F.col("_d")) & docs["th"].eqNullSafe(F.col("_t"))).select("doc_id", "th", "text", "places")
+        texts = self.docs.withColumn("k", F.xxhash64("doc_id", "th")).join(small_side(keys), "k", "left_semi").dropDuplicates(["doc_id", "th"])
+        texts = texts.select("doc_id", "th", F.lit(None).cast("string").alias("item_id"), "text", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("array<int>").alias("shifts"))
+        ordered = texts.unionByName(places).repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", F.col("text").isNull(), "item_id")
         window = self.window
 
         def run(batches):
-            for batch in batches:
-                out = [[], [], [], [], [], []]
-                for doc_id, th, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "places")), strict=True):
-                    spans, items = match_places(words_of(text), [(p["shift"], p["item_id"], p["words"]) for p in places], window)
-                    if spans:
-                        for col, v in zip(out, (doc_id, th, sum(b - a for a, b in spans), sorted(items), [a for a, _ in spans], [b for _, b in spans]), strict=True):
-                            col.append(v)
-                yield _rows(_HITS, *out)
-
-        return joined.mapInArrow(run, _ddl(_HITS)).dropDuplicates(["doc_id", "th"])
-
-
-def match_places(words: list[bytes], places: list[tuple[int, str, bytes]], window: int) -> tuple[list[tuple[int, int]], set[str]]:
-    """Disjoint spans of the words hit, and the items with a window among them."""
-    hit, items, cut = np.zeros(len(words) + 1, bool), set(), {}
-    for shift, item_id, joined in places:
-        item = cut.get(joined)
-        if item is None:
-            item = cut[joined] = joined.split(b" ")
-        size, run = min(window, len(item)), 0
-        for i in range(max(0, -shift), min(len(item), len(words) - shift) + 1):
-            if i < min(len(item), len(words) - shift) and words[shift + i] == item[i]:
-                run += 1
+            key = doc = None
+            for part in slices(batches, "words"):
+                out = []
+                for doc_id, th, item_id, text, words, at in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "item_id", "text", "words", "shifts")), strict=True):
+                    if key != (doc_id, th):
+                        out += doc.row(*key) if doc else []
+                        key, doc = (doc_id, th), None
+                    if text is not None:
+                        doc = Matches(words_of(text), window)
+                    elif doc:
+                        doc.add(item_id, words.split(b" "), at)
+                yield _rows(_HITS, *(zip(*out, strict=True) if out else [[]] * len(_HITS)))
+            last = doc.row(*key) if doc else []
+            yield _rows(_HITS, *(zip(*last, strict=True) if last else [[]] * len(_HITS)))
+
+        return ordered.mapInArrow(run, _ddl(_HITS))
+
+
+class Matches:
+    """Which words of one document lie in windows of items."""
+
+    def __init__(self, words: list[bytes], window: int):
+        self.window, self.code = window, {}
+        self.words = np.array([self.code.setdefault(w, len(self.code)) for w in words], np.int32)
+        self.hit, self.items = np.zeros(len(words) + 1, bool), set()
+
+    def add(self, item_id: str, item: list[bytes], shifts: list[int]) -> None:
+        """Compare an item's words, laid over the document at each of the shifts."""
+        codes, size = np.array([self.code.get(w, -1) for w in item], np.int32), min(self.window, len(item))
+        for shift in shifts:
+            low, high = max(0, -shift), min(len(item), len(self.words) - shift)
+            if high - low < size:
                 continue
-            if run >= size:
-                hit[shift + i - run : shift + i] = True
-                items.add(item_id)
-            run = 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
-    return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)], items
+            same = np.zeros(high - low + 2, bool)
+            same[1:-1] = codes[low:high] == self.words[shift + low : shift + high]
+            for a, b in np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2).tolist():
+                if b - a >= size:
+                    self.hit[shift + low + a : shift + low + b] = True
+                    self.items.add(item_id)
+
+    def row(self, doc_id: int | None, th: int) -> list[tuple]:
+        """The document's row of ``PositionalIndex.phrases``, or none."""
+        starts, ends = np.flatnonzero(np.diff(np.concatenate([[False], self.hit]).astype(np.int8))).reshape(-1, 2).T.tolist()
+        return [(doc_id, th, sum(ends) - sum(starts), sorted(self.items), starts, ends)] if starts else []
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -217,7 +268,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
       empty benchmark hits nothing; an empty corpus gives an empty result.
     * An item shorter than ``window`` is one window; repeated items count once,
       a null item_id as the empty string.
-    * Rows that repeat (doc_id, text) are judged alike.
+    * Rows that repeat (doc_id, text) are judged alike; other columns are not read.
+    * Texts and items may be of any length: a task holds one document and one
+      item at a time.
     """
     index = PositionalIndex(docs, items, window)
     hits = index.scratch.save(index.phrases(), "hits")
@@ -231,7 +284,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows that hold a window of an item."""
+    """``docs``, all its columns, without the rows that hold a window of an item.
+
+    Rows without words and rows of an empty corpus or benchmark stay as they
+    are; rows that repeat (doc_id, text) stay or go together; rows that share a
+    doc_id only are judged each by its text.
+    """
     index = PositionalIndex(docs, items, window)
     hits = index.scratch.save(index.phrases().select(F.col("doc_id").alias("__leak_id"), F.col("th").alias("__leak_hash")), "hits")
     same = docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs["text"]) == F.col("__leak_hash"))
