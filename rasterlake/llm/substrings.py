@@ -1,10 +1,17 @@
 """Substring deduplication: words in windows that already start earlier are removed.
 
-Pass 1 builds a count-min sketch. Each window is counted at its least gram
-(``GRAM`` words), which equal windows share at the same place, so a counter is
-never below the number of equal windows; each task's sketch is sparse, and
-they are merged by blocks of counters. Pass 2 hashes only windows whose counters
-say they repeat, and groups them exactly. Pass 3 removes the words.
+Each window is counted at its least gram (``GRAM`` words), which equal windows
+share at the same place, so a counter is never below the number of equal windows.
+
+Pass 1: a task's sketches are sparse, a list of gram keys for each block of the
+count-min sketch. A block's lists meet in one task, which merges their counters,
+and the same lists are answered with marks: estimated repeated, and hot. Marks go
+back to the chunks of documents that asked and become bits of each document; the
+sketch itself never leaves its blocks.
+
+Pass 2 hashes only the windows whose counters say they repeat, and groups them
+exactly; the windows of a hot gram are dealt by their own hashes. Pass 3 removes
+the words. The texts are shuffled once, for both joins.
 """
 
 from __future__ import annotations
@@ -14,24 +21,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .scratch import Scratch
 from .words import WordHashes, blank_words, mix64
 
 WINDOW, GRAM = 20, 11
-DEPTH = 2
-BLOCK_BITS = 20
-MIN_BITS, MAX_BITS = 20, 29
-#: Counters per byte of text: about 1.4 for each counted gram.
-BYTES_PER_CELL = 8
-FLUSH_WINDOWS = 4_000_000
+#: Rows of counters of a block, and counters for each gram.
+DEPTH, CELLS = 2, 4
+#: Grams of a block of the sketch, and of a chunk of documents.
+BLOCK_GRAMS = 1_000_000
+CHUNK_GRAMS = 1_000_000
+#: Bytes of text for each counted gram, to size the blocks by.
+BYTES_PER_GRAM = 30
+#: A gram counted so often has its windows dealt by their own hashes.
+HOT_GRAM = 20_000
+FLUSH_WINDOWS = 2_000_000
 GROUP_BYTES = 16_000_000
 NO_ID = -(1 << 63)
 
 _U = np.uint64
 _A, _B = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_FLAG = np.uint32(1 << 31)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(x) for x in arrays], "<u8").tobytes(), *(x.tobytes() for x in arrays)])
+
+
+def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 8 * len(kinds)
+    for kind, n in zip(kinds, np.frombuffer(raw, "<u8", len(kinds)).tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -77,76 +103,144 @@ class Batch:
             self.grams = mix64(run_hashes(self.x, GRAM) * _A)
             self.least = _slide(self.grams, WINDOW - GRAM + 1, np.minimum)
 
-    def counted(self) -> np.ndarray:
-        """The grams that are least in some window, once for each place."""
+    def places(self) -> np.ndarray:
+        """Where the grams begin that are least in some window."""
         if self.least is None or not self.valid.any():
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.int64)
         reach = WINDOW - GRAM
         pad = np.zeros(reach, np.uint64)
         most = _slide(np.concatenate([pad, np.where(self.valid, self.least, _U(0)), pad]), reach + 1, np.maximum)
-        return self.grams[most == self.grams]
+        return np.flatnonzero(most == self.grams)
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The grams that are least in some window, once for each place, and how many each text has."""
+        at = self.places()
+        return (self.grams[at] if len(at) else np.empty(0, np.uint64)), np.bincount(np.searchsorted(self.starts + self.lengths, at, "right"), minlength=len(self.lengths))
 
-def cells(grams: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The counter of each gram in each row of the sketch."""
-    return [(mix64(grams + _U(k) * _B) >> _U(64 - bits)).astype(np.uint32) for k in range(DEPTH)]
 
+def block_of(mixed: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each mixed gram; in sorted order, blocks are too."""
+    return ((mixed >> _U(32)) * _U(blocks)) >> _U(32)
 
-def sketch(docs: DataFrame, bits: int) -> DataFrame:
-    """(row, block, repeated): merged sketches; bit i of ``repeated`` says that the block's i-th counter is 2 or more."""
-    block_bits = min(BLOCK_BITS, bits)
 
-    def build(batches):
-        hashes, held, size = WordHashes(), [], 0
+def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The counter of each 31-bit key in a row of its block."""
+    return (mix64(keys.astype(np.uint64) + _U((row + 1) * int(_B) % 2**64)) >> _U(64 - bits)).astype(np.uint32)
 
-        def flush():
-            grams = np.concatenate(held)
-            for row, at in enumerate(cells(grams, bits)):
-                at, n = np.unique(at, return_counts=True)
-                low = (at & np.uint32((1 << block_bits) - 1)) | ((n > 1).astype(np.uint32) << np.uint32(31))
-                block = at >> np.uint32(block_bits)
-                cuts = np.flatnonzero(np.diff(block)) + 1
-                parts = np.split(low, cuts)
-                ids = block[np.concatenate([[0], cuts])] if len(block) else []
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ids), pa.int32()), pa.array(ids, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["row", "block", "counts"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                grams = Batch(hashes, batch.column("text").slice(at, 400).to_pylist()).counted()
-                held.append(grams)
-                size += len(grams)
-                if size >= FLUSH_WINDOWS:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+def repeated(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Count-min: which keys all rows of counters hold to be 2 or more, with counters that stop at 2."""
+    out = np.ones(len(keys), bool)
+    for row in range(DEPTH):
+        at = cells(keys, row, bits)
+        twice = np.zeros(1 << bits, bool)
+        twice[at[counts > 1]] = True
+        ordered = np.sort(at)
+        twice[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+        out &= twice[at]
+    return out
 
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, twice = np.zeros(1 << block_bits, bool), np.zeros(1 << block_bits, bool)
-        for batch in batches:
-            for raw in batch.column("counts").to_pylist():
-                v = np.frombuffer(raw, np.uint32)
-                at = v & np.uint32((1 << 31) - 1)
-                twice[at] |= seen[at] | (v >> np.uint32(31)).astype(bool)
-                seen[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["row", "block", "repeated"])
 
-    built = docs.select("text").mapInArrow(build, "row int, block int, counts binary")
-    return built.groupBy("row", "block").applyInArrow(merge, "row int, block int, repeated binary")
+_PIECES = "part bigint, chunk bigint, payload binary"
+
+
+def _pieces(part, chunk, payload) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int64()), pa.array(payload, pa.binary())], names=["part", "chunk", "payload"])
+
 
+def marks(docs: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """(d, th, marks): bit 2 i of ``marks`` says that a document's i-th counted gram is estimated repeated, bit 2 i + 1 that it is hot.
 
-def _gather(merged: DataFrame, bits: int) -> list[np.ndarray]:
-    """The rows of the sketch as bitmaps: at most DEPTH * 2 ** MAX_BITS bits."""
-    size = 1 << min(BLOCK_BITS, bits)
-    maps = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
-    for r in merged.toLocalIterator():
-        at = r.block * size // 8
-        maps[r.row][at : at + size // 8] = np.frombuffer(bytes(r.repeated), np.uint8)
-    return maps
+    Documents without a repeated gram are left out. Rows with equal (d, th) are one document.
+    """
 
+    def build(batches):
+        hashes, held, chunk, size = WordHashes(), [], TaskContext.get().partitionId() << 24, 0
 
-_FOUND = "part int, d bigint, th bigint, payload binary"
-_FOUND_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        def flush():
+            grams, counts, d, th = (np.concatenate(c) for c in zip(*held, strict=True))
+            mixed = mix64(grams + _A)
+            order = np.argsort(mixed, kind="stable")
+            first = np.ones(len(order), bool)
+            first[1:] = mixed[order[1:]] != mixed[order[:-1]]
+            heads = np.flatnonzero(first)
+            ordinal = np.empty(len(order), np.uint32)
+            ordinal[order] = np.cumsum(first) - 1
+            yield _pieces([-1 - chunk], [chunk], [pack(d.astype("<i8"), th.astype("<i8"), counts.astype("<u4"), ordinal.astype("<u4"))])
+            single, times = mixed[order[heads]], np.diff(np.append(heads, len(order)))
+            block = block_of(single, blocks)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1]) if len(block) else np.empty(0, np.int64)
+            parts, payloads = [], []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=False):
+                more = times[a:b] > 1
+                keys = (single[a:b] & _U(0x7FFFFFFF)).astype(np.uint32) | (more * _FLAG)
+                parts.append(int(block[a]))
+                payloads.append(pack(np.array([a], "<u8"), keys.astype("<u4"), times[a:b][more].astype("<u4")))
+            for at in range(0, len(parts), 2000):
+                yield _pieces(parts[at : at + 2000], [chunk] * len(parts[at : at + 2000]), payloads[at : at + 2000])
+
+        for some in slices(batches):
+            grams, counts = Batch(hashes, some.column("text").to_pylist()).counted()
+            has = counts > 0
+            d, th = (some.column(c).to_numpy(zero_copy_only=False)[has] for c in ("d", "th"))
+            held.append((grams, counts[has], d, th))
+            size += len(grams)
+            if size >= CHUNK_GRAMS:
+                yield from flush()
+                held, size, chunk = [], 0, chunk + 1
+        if size:
+            yield from flush()
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, lists = [], []
+        for batch in batches:
+            if key[0].as_py() < 0:
+                yield batch
+                continue
+            chunks += batch.column("chunk").to_pylist()
+            lists += [unpack(raw, "<u8", "<u4", "<u4") for raw in batch.column("payload").to_pylist()]
+        if not lists:
+            return
+        keys = np.concatenate([x[1] for x in lists])
+        counts = np.ones(len(keys), np.uint32)
+        counts[keys >= _FLAG] = np.concatenate([x[2] for x in lists])
+        keys &= _FLAG - np.uint32(1)
+        twice = repeated(keys, counts, bits)
+        order = np.argsort(keys, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+        total = np.add.reduceat(counts[order].astype(np.uint64), heads)
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(total >= HOT_GRAM, np.diff(np.append(heads, len(keys))))
+        ends = np.cumsum([len(x[1]) for x in lists])
+        answers = [pack(x[0], np.array([b - a], "<u8"), np.packbits(np.stack([twice[a:b], hot[a:b]], 1))) for x, a, b in zip(lists, (ends - [len(x[1]) for x in lists]).tolist(), ends.tolist(), strict=True)]
+        for at in range(0, len(chunks), 2000):
+            yield _pieces([0] * len(chunks[at : at + 2000]), chunks[at : at + 2000], answers[at : at + 2000])
+
+    def assemble(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory, answers = None, []
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if part < 0:
+                    directory = unpack(raw, "<i8", "<i8", "<u4", "<u4")
+                else:
+                    answers.append(unpack(raw, "<u8", "<u8", "u1"))
+        d, th, counts, ordinal = directory
+        said = np.zeros((int(ordinal.max()) + 1, 2), bool)
+        for at, n, raw in answers:
+            said[int(at[0]) : int(at[0]) + int(n[0])] = np.unpackbits(raw, count=2 * int(n[0])).reshape(-1, 2)
+        said = said[ordinal]
+        ends = np.cumsum(counts.astype(np.int64))
+        out = [(int(i), int(t), np.packbits(said[a:b]).tobytes()) for i, t, a, b in zip(d, th, (ends - counts).tolist(), ends.tolist(), strict=True) if said[a:b, 0].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["d", "th", "marks"])
+
+    built = docs.select("d", "th", "text").mapInArrow(build, _PIECES)
+    answered = built.groupBy("part").applyInArrow(merge, _PIECES)
+    per_doc = answered.groupBy("chunk").applyInArrow(assemble, "d bigint, th bigint, marks binary")
+    return per_doc.groupBy("d", "th").agg(F.max("marks").alias("marks"))
+
+
+_FOUND = "part bigint, d bigint, th bigint, payload binary"
+_FOUND_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,76 +270,71 @@ def _by_document(d: np.ndarray, th: np.ndarray, pos: np.ndarray) -> list[tuple]:
     return [(None, int(d[a]), int(th[a]), p.astype("<u4").tobytes()) for a, p in zip(np.concatenate([[0], cuts]), np.split(pos, cuts), strict=True)]
 
 
-def repeated_starts(docs: DataFrame, parts: int, maps) -> DataFrame:
-    """(part, d, th, payload): with a part, windows still to be grouped; without, starts known to repeat earlier ones.
+def repeated_starts(marked: DataFrame, parts: int) -> DataFrame:
+    """(part, d, th, payload) of ``marked`` (d, th, doc_id, text, marks): windows still to be grouped; with a negative part, starts known to repeat earlier ones.
 
     A task compares its own windows first: of equal ones only the earliest goes
-    on, so a window found everywhere is one entry per task.
+    on, so a window found everywhere is one entry per flush.
     """
 
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, size, done = WordHashes(), [], 0, -1 - (TaskContext.get().partitionId() << 24)
 
         def flush():
-            least, h1, h2, d, th, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+            part, h1, h2, d, th, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((pos, th, d, h2, h1))
             later = _later(order, [h1, h2], [d, th, pos])
             gone = order[later]
-            rows = _by_document(d[gone], th[gone], pos[gone])
+            rows = [(done, *r[1:]) for r in _by_document(d[gone], th[gone], pos[gone])]
             keep = order[~later]
-            part = (least[keep] % _U(parts)).astype(np.int32)
-            by = np.lexsort((pos[keep], th[keep], d[keep], part))
-            keep, part = keep[by], part[by]
-            cuts = np.flatnonzero(np.diff(part)) + 1
-            for p, some in zip(part[np.concatenate([[0], cuts])] if len(part) else [], np.split(keep, cuts), strict=False):
+            keep = keep[np.lexsort((pos[keep], th[keep], d[keep], part[keep]))]
+            cuts = np.flatnonzero(np.diff(part[keep])) + 1
+            for some in np.split(keep, cuts) if len(keep) else []:
                 docs_at = np.concatenate([[0], np.flatnonzero((np.diff(d[some]) != 0) | (np.diff(th[some]) != 0)) + 1])
                 n_each = np.diff(np.append(docs_at, len(some)))
-                payload = [np.array([len(docs_at), len(some)], "<u8"), d[some][docs_at].astype("<i8"), th[some][docs_at].astype("<i8"), n_each.astype("<u8"), h1[some].astype("<u8"), h2[some].astype("<u8"), pos[some].astype("<u4")]
-                rows.append((int(p), None, None, b"".join(x.tobytes() for x in payload)))
+                payload = pack(d[some][docs_at].astype("<i8"), th[some][docs_at].astype("<i8"), n_each.astype("<u4"), h1[some].astype("<u8"), h2[some].astype("<u4"), pos[some].astype("<u4"))
+                rows.append((int(part[some[0]]), None, None, payload))
             for at in range(0, len(rows), 5000):
                 yield _found(rows[at : at + 5000])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                some = batch.slice(at, 400)
-                b = Batch(hashes, some.column("text").to_pylist())
-                if b.least is None:
-                    continue
-                asked = b.valid.copy()
-                if maps is not None:
-                    bits = (len(maps.value[0]) * 8).bit_length() - 1
-                    for bitmap, cell in zip(maps.value, cells(b.least, bits), strict=True):
-                        asked &= (bitmap[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-                j = np.flatnonzero(asked)
-                if not len(j):
-                    continue
-                row = np.repeat(np.arange(len(b.lengths)), b.lengths)[j]
-                h1, h2 = run_hashes(b.x, WINDOW)[j], run_hashes(mix64(b.x), WINDOW)[j]
-                d, th = (some.column(c).to_numpy(zero_copy_only=False) for c in ("d", "th"))
-                held.append((b.least[j], mix64(h1), h2, d[row], th[row], (j - b.starts[row]).astype(np.uint32)))
-                size += len(j)
-                if size >= FLUSH_WINDOWS:
-                    yield from flush()
-                    held, size = [], 0
+        for some in slices(batches):
+            b = Batch(hashes, some.column("text").to_pylist())
+            at = b.places()
+            if not len(at):
+                continue
+            counts = np.bincount(np.searchsorted(b.starts + b.lengths, at, "right"), minlength=len(b.lengths))
+            said = np.concatenate([np.unpackbits(np.frombuffer(m, "u1"), count=2 * n) for m, n in zip(some.column("marks").to_pylist(), counts.tolist(), strict=True)]).reshape(-1, 2).astype(bool)
+            j = np.flatnonzero(b.valid & np.isin(b.least, b.grams[at[said[:, 0]]]))
+            if not len(j):
+                continue
+            row = np.repeat(np.arange(len(b.lengths)), b.lengths)[j]
+            h1, h2 = mix64(run_hashes(b.x, WINDOW)[j]), (run_hashes(mix64(b.x), WINDOW)[j] >> _U(32)).astype(np.uint32)
+            hot = np.isin(b.least[j], b.grams[at[said[:, 1]]])
+            part = np.where(hot, mix64(h1 + _A), b.least[j]) % _U(parts)
+            d, th = (some.column(c).to_numpy(zero_copy_only=False) for c in ("d", "th"))
+            held.append((part.astype(np.int64), h1, h2, d[row], th[row], (j - b.starts[row]).astype(np.uint32)))
+            size += len(j)
+            if size >= FLUSH_WINDOWS:
+                yield from flush()
+                held, size, done = [], 0, done - 1
         if size:
             yield from flush()
 
-    return docs.select("d", "th", "text").mapInArrow(run, _FOUND)
+    return marked.select("d", "th", "doc_id", "text", "marks").mapInArrow(run, _FOUND)
 
 
 def _grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = [[], [], [], [], []]
     for batch in batches:
+        if key[0].as_py() < 0:
+            yield batch
+            continue
         for raw in batch.column("payload").to_pylist():
-            n_docs, n = (int(v) for v in np.frombuffer(raw, "<u8", 2))
-            at = 16
-            ids = []
-            for kind, count in (("<i8", n_docs), ("<i8", n_docs), ("<u8", n_docs), ("<u8", n), ("<u8", n), ("<u4", n)):
-                ids.append(np.frombuffer(raw, kind, count, at))
-                at += ids[-1].nbytes
-            d, th, each, h1, h2, pos = ids
-            for c, v in zip(columns, (np.repeat(d, each.astype(np.int64)), np.repeat(th, each.astype(np.int64)), h1, h2, pos), strict=True):
+            d, th, each, h1, h2, pos = unpack(raw, "<i8", "<i8", "<u4", "<u8", "<u4", "<u4")
+            for c, v in zip(columns, (np.repeat(d, each), np.repeat(th, each), h1, h2, pos), strict=True):
                 c.append(v)
+    if not columns[0]:
+        return
     d, th, h1, h2, pos = (np.concatenate(c) for c in columns)
     order = np.lexsort((pos, th, d, h2, h1))
     gone = order[_later(order, [h1, h2], [d, th, pos])]
@@ -265,20 +354,22 @@ def covered(n_words: int, starts: list[bytes]) -> np.ndarray:
 
 
 def _removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text, ...) with ``starts``: lists of window starts to remove (null: none)."""
+    """Rows of ``docs`` (doc_id, text) with ``starts``: lists of window starts to remove (null: none)."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"d": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "doc_id", "text")
     n_bytes = keyed.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    bits = max(MIN_BITS, (n_bytes // BYTES_PER_CELL).bit_length())
-    maps = None
-    if bits <= MAX_BITS:
-        maps = spark.sparkContext.broadcast(_gather(scratch.save(sketch(keyed, bits), "sketch"), bits))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // GROUP_BYTES)
-    found = scratch.save(repeated_starts(keyed, parts, maps), "windows")
-    grouped = found.filter("part is not null").select("part", "payload").groupBy("part").applyInArrow(_grouped, _FOUND)
-    starts = found.filter("part is null").unionByName(grouped).groupBy("d", "th").agg(F.collect_list("payload").alias("starts"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_grams = n_bytes // BYTES_PER_GRAM
+    blocks = max(least, -(-n_grams // BLOCK_GRAMS))
+    bits = max(10, (CELLS * n_grams // blocks).bit_length())
+    parts = max(least, n_bytes // GROUP_BYTES)
+    marked = scratch.save(marks(keyed, blocks, bits), "marks").select(F.col("d").alias("_d"), F.col("th").alias("_t"), "marks")
+    asked = keyed.join(marked.hint("merge"), (keyed["d"] == F.col("_d")) & (keyed["th"] == F.col("_t")))
+    grouped = repeated_starts(asked, parts).groupBy("part").applyInArrow(_grouped, _FOUND)
+    starts = grouped.groupBy("d", "th").agg(F.collect_list("payload").alias("starts"))
     starts = starts.select(F.col("d").alias("_d"), F.col("th").alias("_t"), "starts")
-    return keyed.join(starts, (keyed["d"] == F.col("_d")) & (keyed["th"] == F.col("_t")), "left").drop("d", "th", "_d", "_t")
+    # Both joins hash the same columns of the same rows, so Spark shuffles the texts once for both.
+    return keyed.join(starts.hint("merge"), (keyed["d"] == F.col("_d")) & (keyed["th"] == F.col("_t")), "left").drop("d", "th", "_d", "_t")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -292,11 +383,12 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
       texts; rows equal in both are one document and share the answer.
     * An empty table gives an empty result; other columns are not read.
 
-    Windows are equal if two 64-bit hashes of their words are.
+    Windows are equal if a 64-bit and a 32-bit hash of their words are. Texts may
+    be of any length; a task holds bounded pieces of its texts.
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], []]
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = blank_words(text)
@@ -311,10 +403,14 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_substrings(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): ``docs`` with the removed words gone and the kept ones joined by one space."""
+    """(doc_id, text): ``docs`` with the removed words gone and the kept ones joined by one space.
+
+    One row per row, as in ``substring_dedup``; a text that loses nothing, null
+    and empty ones included, stays as it is.
+    """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = blank_words(text) if starts else []

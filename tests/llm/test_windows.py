@@ -61,6 +61,27 @@ def test_leaks_of_empty_tables(spark, make):
     assert decontaminate.contamination(make([]), bench).count() == 0
 
 
+def test_leaks_of_long_and_many_items(spark, make):
+    """An item of 20,000 words, 10,000 items of 200 words, a word repeated 20,000 times, a document of 100,000 places."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    long, most = text(20_000), [text(200) for _ in range(10_000)]
+    items = [(-1, long), (-2, "the " * 20_000), (-3, "of the"), *enumerate(most)]
+    cut = long.split()[7_000:7_030]
+    rows = [(1, "x " + " ".join(cut) + " y"), (2, most[77] + " z"), (3, "the " * 9), (4, "the " * 50_000 + "of the " * 50_000), (5, "clean words only")]
+    got = {r.doc_id: r for r in decontaminate.contamination(make(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    digest = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    assert (got[1].n_hit, got[1].items_sha256) == (30, digest("-1"))
+    assert (got[2].n_hit, got[2].items_sha256) == (200, digest("77"))
+    assert got[3].n_hit == 0 and got[5].n_hit == 0
+    assert (got[4].n_words, got[4].n_hit, got[4].items_sha256) == (150_000, 150_000, digest("-2", "-3"))
+
+
+def test_repeated_windows_are_looked_up_once():
+    assert decontaminate.places_of([b"the"] * 500, [9] * 500, 10, 3) == [0, 1, 2]
+    assert decontaminate.places_of([b"a", b"b"], [5, 1], 10, 3) == [0, 1]
+
+
 def test_dropping_and_proximity(spark, make):
     item = "quick brown foxes jump over lazy sleeping dogs near rivers today"
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
@@ -104,10 +125,13 @@ def repeating(seed=6):
     return rows + [(60, "the " * 30), (61, "The the " * 40), (62, "a b c d e f g " * 12), (63, None), (64, ""), (65, rows[3][1]), (3, rows[3][1]), (None, rows[7][1]), (66, "w " * 30_000)]
 
 
-@pytest.mark.parametrize("filtered", [True, False])
-def test_repeats(make, monkeypatch, filtered):
-    if not filtered:
-        monkeypatch.setattr(substrings, "MAX_BITS", 0)
+@pytest.mark.parametrize(("chunk", "block", "hot"), [(1_000_000, 1_000_000, 20_000), (40, 3, 20_000), (25, 7, 2), (1, 1, 1)])
+def test_repeats(make, monkeypatch, chunk, block, hot):
+    """Also with many small blocks and chunks, and with every repeated gram hot."""
+    monkeypatch.setattr(substrings, "CHUNK_GRAMS", chunk)
+    monkeypatch.setattr(substrings, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(substrings, "HOT_GRAM", hot)
+    monkeypatch.setattr(substrings, "FLUSH_WINDOWS", 10 * chunk)
     rows = repeating()
     got = substrings.substring_dedup(make(rows, clash=True)).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows)
@@ -118,11 +142,26 @@ def test_flushes_keep_every_repeat(make, monkeypatch):
     rows = repeating(9)
     docs = make(rows).coalesce(1)
     batch = substrings.Batch(substrings.WordHashes(), [t for _, t in rows])
-    assert len(batch.counted()) < len(batch.x)
+    grams, counts = batch.counted()
+    assert len(grams) == counts.sum() < len(batch.x)
     got = substrings.substring_dedup(docs).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows)
 
 
+def test_counters_never_fall_short():
+    """Every key with a count of two is marked, few others are."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 31, 20_000).astype(np.uint32)
+    keys[:4000] = keys[4000:8000]
+    counts = np.ones(len(keys), np.uint32)
+    counts[10_000:10_100] = 3
+    marked = substrings.repeated(keys, counts, 16)
+    assert marked[:8000].all() and marked[10_000:10_100].all()
+    assert marked[10_100:].mean() < 0.2
+
+
 def test_repeats_of_empty_table_and_texts(make):
     assert substrings.substring_dedup(make([])).count() == 0
     long = " ".join(f"w{i}" for i in range(30))
