@@ -7,7 +7,6 @@ family apart. Features are hashed 1- to 3-byte sequences of the whole text.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .linear import fit_logistic, fit_svm, sigmoid
 
 #: Families of common languages; any other language is a family of its own.
@@ -31,9 +31,14 @@ UNDETERMINED = "und"
 HELD_OUT = 2
 _BIGRAMS, _TRIGRAMS = 2048, 4096
 N_FEATURES = 256 + _BIGRAMS + _TRIGRAMS
-LETTER = re.compile(r"[^\W\d_]")
-#: The same for Spark's expressions.
-LETTERS = r"[\p{L}\p{Nl}\p{No}]"
+#: A letter (Unicode categories L*) for Spark's expressions.
+LETTERS = r"\p{L}"
+SLICE_ROWS = 500
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of the Unicode categories L*: numerals such as a Roman one or a fraction are not."""
+    return any(map(str.isalpha, text or ""))
 
 
 def features(text: str) -> np.ndarray:
@@ -74,8 +79,8 @@ def training_sample(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[np
     taken = drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * each).select("lang", "text")
 
     def run(batches):
-        for batch in batches:
-            rows = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if LETTER.search(t)]
+        for batch in slices(batches):
+            rows = [(lang, features(t).astype(np.float16).tobytes()) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
     rows = sorted((r.lang, bytes(r.x)) for r in taken.mapInArrow(run, "lang string, x binary").collect())
@@ -117,7 +122,7 @@ class LanguageModel:
                     won[a if v >= 0.5 else b] += 1
                     chance[a] += v
                     chance[b] += 1 - v
-            best = max(members, key=lambda m: (won[m], chance[m]))
+            best = max(members, key=lambda m: (won[m], chance[m]))  # of equals the first by name
             inner = chance[best] / (len(members) - 1) if len(members) > 1 else 1.0
             out.append((best, family, float(min(1.0, max(0.0, p.max() * inner)))))
         return out
@@ -129,25 +134,26 @@ def identify(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame
     * Null text, empty text and text without a letter: ``und`` with score 0; so
       is every text if there is nothing to learn from.
     * A null doc_id counts as the empty string for ``held_out``.
-    * Whole texts are used; repeated rows get equal predictions.
+    * Letters are characters of the Unicode categories L*.
+    * Whole texts of any length are used; repeated rows get equal predictions;
+      of two languages that tie the first by name is taken; an empty table gives
+      an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(LanguageModel(*training_sample(docs, max_train_rows)))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                texts = rows.column("text").to_pylist()
-                known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-                out = [(UNDETERMINED, UNDETERMINED, 0.0)] * len(texts)
-                if known:
-                    for i, y in zip(known, model.value.predict(np.array([features(texts[i]) for i in known])), strict=True):
-                        out[i] = y
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), pa.array([y[0] for y in out], pa.string()), pa.array([y[2] for y in out], pa.float64()), pa.array([y[1] for y in out], pa.string())],
-                    names=["doc_id", "held_out", "lang_pred", "score", "family"],
-                )
+        for rows in slices(batches, rows=SLICE_ROWS):
+            texts = rows.column("text").to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            out = [(UNDETERMINED, UNDETERMINED, 0.0)] * len(texts)
+            if known:
+                for i, y in zip(known, model.value.predict(np.array([features(texts[i]) for i in known])), strict=True):
+                    out[i] = y
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("held_out"), pa.array([y[0] for y in out], pa.string()), pa.array([y[2] for y in out], pa.float64()), pa.array([y[1] for y in out], pa.string())],
+                names=["doc_id", "held_out", "lang_pred", "score", "family"],
+            )
 
     seen = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return seen.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, family string")
