@@ -34,7 +34,7 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
-    """Per source of (source, size): source_size, n_docs, target.
+    """Per source of (source, size): source_size, n_docs, target, tree (its place in code-point order).
 
     Weights go round in code-point order of the sources, null last. Targets
     share the total by weight, none above ``max_repeat`` times its source. A
@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tupl
     everything = Window.partitionBy(F.lit(0))
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    per = per.withColumn("weight", F.element_at(cycle, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
+    per = per.withColumn("place", F.row_number().over(by_name) - 1).withColumn("weight", F.element_at(cycle, (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * max_repeat).withColumn("ratio", F.col("cap") / F.col("weight"))
     total, all_weight = F.sum("source_size").over(everything), F.sum("weight").over(everything)
     left = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (all_weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
@@ -56,7 +56,21 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tupl
     held = lambda c: F.coalesce(F.sum(F.when(F.col("capped"), F.col(c))).over(everything), F.lit(0))
     level = F.try_divide(F.col("total") - held("cap"), F.col("all_weight") - held("weight"))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level)
-    return per.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"))
+    return per.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"), F.col("place").cast("bigint").alias("tree"))
+
+
+#: A unit: rows with the same doc_id and size in one source. ``unit`` is a hash that orders and draws; it needs not be unique.
+UNIT = "unit:bigint,doc_id:bigint,size:bigint"
+_KEY = ("unit", "doc_id", "size")
+
+
+def _key(x: Column) -> list[Column]:
+    return [x[c].alias(c) for c in _KEY]
+
+
+def _same_unit(left: DataFrame, right: DataFrame) -> Column:
+    """Rows of one unit; ``tree`` says which source."""
+    return (left["unit"] == right["unit"]) & (left["tree"] == right["tree"]) & (left["size"] == right["size"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
 def _uniform(*parts: Column) -> Column:
@@ -73,7 +87,7 @@ def _pair(a: Column, b: Column, seed: int) -> Column:
     room = lambda x: x["mass"] * (1 - x["f"])
     held = lambda x: x["mass"] * x["f"]
     snap = lambda v: F.when(v < EPSILON, 0.0).when(v > 1 - EPSILON, 1.0).otherwise(v)
-    after = lambda x, d: F.struct(x["unit"].alias("unit"), x["mass"].alias("mass"), snap(x["f"] + d / x["mass"]).alias("f"))
+    after = lambda x, d: F.struct(*_key(x), x["mass"].alias("mass"), snap(x["f"] + d / x["mass"]).alias("f"))
     ways = F.struct(F.least(room(a), held(b)).alias("up"), F.least(room(b), held(a)).alias("down"))
     # a rises with a chance of down / (up + down), so that each share keeps its expectation
     rises = lambda w: _uniform(a["unit"], b["unit"], F.lit(seed)) * (w["up"] + w["down"]) < w["down"]
@@ -82,8 +96,8 @@ def _pair(a: Column, b: Column, seed: int) -> Column:
 
 
 def _fold(units: Column, seed: int) -> Column:
-    """Fold an array of (unit, mass, f): the settled ones in ``done`` and at most one residual in ``open``."""
-    kind = "array<struct<unit:bigint,mass:double,f:double>>"
+    """Fold an array of (unit, doc_id, size, mass, f): the settled ones in ``done`` and at most one residual in ``open``."""
+    kind = f"array<struct<{UNIT},mass:double,f:double>>"
     state = f"struct<done:{kind},open:{kind}>"
     start = F.expr(f"cast(named_struct('done', array(), 'open', array()) as {state})")
     integral = lambda x: (x["f"] == 0) | (x["f"] == 1)
@@ -104,7 +118,7 @@ def _fold_heavy(units: Column, target: Column, size: Column, max_repeat: int, se
     expectation. Where the chance would leave more or less than the rest can
     make up for, the other way is taken.
     """
-    kind = "array<struct<unit:bigint,copies:bigint>>"
+    kind = f"array<struct<{UNIT},copies:bigint>>"
     state = f"struct<t:double,s:double,done:{kind}>"
     start = F.struct(target.alias("t"), size.cast("double").alias("s"), F.expr(f"cast(array() as {kind})").alias("done")).cast(state)
 
@@ -116,7 +130,7 @@ def _fold_heavy(units: Column, target: Column, size: Column, max_repeat: int, se
         )
         chance = lambda b: b["base"] + (_uniform(x["unit"], F.lit(seed)) < b["r"] - b["base"]).cast("int")
         pick = lambda b: F.least(F.greatest(chance(b), F.least(b["low"], b["base"] + 1)), F.greatest(b["high"], b["base"])).cast("bigint")
-        after = lambda c: F.struct((acc["t"] - c * x["mass"]).alias("t"), (acc["s"] - x["mass"]).alias("s"), F.concat(acc["done"], F.array(F.struct(x["unit"].alias("unit"), c.alias("copies")))).alias("done")).cast(state)
+        after = lambda c: F.struct((acc["t"] - c * x["mass"]).alias("t"), (acc["s"] - x["mass"]).alias("s"), F.concat(acc["done"], F.array(F.struct(*_key(x), c.alias("copies")))).alias("done")).cast(state)
         return _let(_let(bounds, pick), after)
 
     return F.aggregate(units, start, step)
@@ -134,11 +148,11 @@ def _chunks(level: DataFrame, seed: int) -> DataFrame:
 
 
 def _settled(folded: DataFrame) -> DataFrame:
-    return folded.select(F.explode("y.done").alias("x")).select("x.unit", (F.col("x.f") == 1).alias("more"))
+    return folded.select("tree", F.explode("y.done").alias("x")).select("tree", *_key(F.col("x")), (F.col("x.f") == 1).alias("more"))
 
 
 def _reduce_tree(level: DataFrame, most: int, fan_in: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
-    """(unit, more) for the units x of ``level``: level by level, fan_in residuals meet in a node, up to one per tree."""
+    """(tree, unit, doc_id, size, more) for the units x of ``level``: level by level, fan_in residuals meet in a node, up to one per tree."""
     settled, nodes, height = [], max(1, most), 0
     while True:
         folded = scratch.save(_chunks(level, seed + height), f"{name}{height}")
@@ -147,7 +161,7 @@ def _reduce_tree(level: DataFrame, most: int, fan_in: int, seed: int, scratch: S
         nodes, height = -(-nodes // fan_in), height + 1
         if nodes <= 1:
             break
-    last = level.select("x.unit", _flip(F.col("x"), seed).alias("more"))
+    last = level.select("tree", *_key(F.col("x")), _flip(F.col("x"), seed).alias("more"))
     return reduce(DataFrame.unionByName, [*settled, last])
 
 
@@ -169,8 +183,7 @@ def mix_decisions(docs: DataFrame, seed: int = 7, max_repeat: int = MAX_REPEAT,
     scratch = Scratch(spark, "mix")
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
-    tree = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
-    units = units.withColumns({"unit": F.xxhash64("doc_id", "source", "size", F.lit(seed)), "tree": tree, "mass": F.col("size") * F.col("rows")})
+    units = units.withColumns({"unit": F.xxhash64("doc_id", "source", "size", F.lit(seed)), "mass": F.col("size") * F.col("rows")})
     units = scratch.save(units, "units")
     targets = scratch.save(source_targets(units.select("source", F.col("mass").alias("size")), max_repeat, weights).withColumnRenamed("source", "_source"), "targets")
     n_sources, most = targets.agg(F.count(F.lit(1)), F.max("n_docs")).first()
@@ -184,22 +197,23 @@ def mix_decisions(docs: DataFrame, seed: int = 7, max_repeat: int = MAX_REPEAT,
         return df.withColumns({"whole": whole, "f": F.greatest(F.col("expected") - whole, F.lit(0.0))})
 
     is_heavy = F.col("mass") * HEAVY > F.col("source_size")
-    each = F.struct((-F.col("mass")).alias("order"), "unit", F.col("mass").cast("double").alias("mass"))
+    each = F.struct((-F.col("mass")).alias("order"), *_KEY, F.col("mass").cast("double").alias("mass"))
     heavy = units.filter(is_heavy).groupBy("tree").agg(F.array_sort(F.collect_list(each)).alias("xs"), F.first("target").alias("target"), F.first("source_size").alias("size"))
     heavy = scratch.save(heavy.select("tree", _fold_heavy(F.col("xs"), F.col("target"), F.col("size"), max_repeat, seed).alias("y")), "heavy")
-    chosen = heavy.select(F.explode("y.done").alias("x")).select("x.unit", "x.copies")
+    chosen = heavy.select("tree", F.explode("y.done").alias("x")).select("tree", *_key(F.col("x")), "x.copies")
     left = heavy.select("tree", F.col("y.t").alias("left_target"), F.col("y.s").alias("left_size"))
-    heavy = units.filter(is_heavy).join(chosen, "unit")
+    heavy = units.filter(is_heavy)
+    heavy = heavy.join(chosen, _same_unit(heavy, chosen)).select(*(heavy[c] for c in heavy.columns), "copies")
 
     light = units.filter(~is_heavy).join(F.broadcast(left) if small else left, "tree", "left")
     light = shares(light, F.try_divide(F.coalesce("left_target", "target"), F.coalesce("left_size", "source_size")))
-    x = F.struct("unit", F.col("mass").cast("double").alias("mass"), "f").alias("x")
+    x = F.struct(*_KEY, F.col("mass").cast("double").alias("mass"), "f").alias("x")
     free = (F.col("f") > EPSILON) & (F.col("size") > 0)
     # Level 0: hash chunks of about fan_in units of one source.
     chunk = F.pmod(F.xxhash64("unit", F.lit("chunk")), F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)))
     more = _reduce_tree(light.filter(free).select("tree", chunk.alias("node"), x), most or 1, fan_in, seed, scratch, "level")
     by_hash = F.when((F.col("f") > EPSILON) & (F.col("size") == 0), _uniform(F.col("unit"), F.lit("empty")) < F.col("f"))
-    light = light.join(more, "unit", "left").withColumn("copies", F.col("whole") + F.coalesce("more", by_hash, F.lit(False)).cast("int"))
+    light = light.join(more, _same_unit(light, more), "left").select(*(light[c] for c in light.columns), "more").withColumn("copies", F.col("whole") + F.coalesce("more", by_hash, F.lit(False)).cast("int"))
     columns = ["doc_id", "source", "size", "rows", "source_size", "target", "copies"]
     return light.select(columns).unionByName(heavy.select(columns))
 
@@ -211,7 +225,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_corpus(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (0 times: dropped)."""
+    """``docs``, all its columns, with each row repeated as often as the mix takes it (0 times: dropped).
+
+    Rows with the same doc_id, source and number of words are repeated alike; a
+    null doc_id or source is a value of its own, a null text has no words, and
+    an empty table stays empty.
+    """
     made = mix_decisions(docs, **options).filter("copies > 0").select(*(F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "source", "size", "copies")))
     same = docs["doc_id"].eqNullSafe(F.col("__mix_doc_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (n_words(docs["text"]) == F.col("__mix_size"))
     repeated = docs.join(made, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy"))
