@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .scratch import Scratch
 
 MAGIC = b"RLDC"
@@ -34,6 +35,8 @@ BLOCK = 512
 CHUNK_BITS = 8
 SEGMENT_TOKENS = 2_000_000
 CACHED_UNITS = 400_000
+#: Bytes of text for a task, at most about.
+TASK_BYTES = 64 << 20
 END_ID = 0
 #: Where a text has no two blanks together, every space and line feed begins a new piece for the tokenizer.
 TWO_BLANKS = re.compile(r"[\s\x1c-\x1f][\s\x1c-\x1f]")
@@ -210,7 +213,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     Null text has no ids but the end id; null doc_ids come first; rows with the
     same doc_id follow each other in the order of a hash of their texts. A hot
-    doc_id is spread by that hash.
+    doc_id is spread by that hash. An empty table gives no segment; a text of any
+    length is encoded whole; other columns are not read. A task gets about
+    ``TASK_BYTES`` of text, however much there is.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, "rb") as f:
@@ -226,21 +231,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             columns = [[shard], [segment], [len(ids)], [count], [pack_segment(ids, held)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SEGMENTS.types, strict=True)], schema=_SEGMENTS)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
-                texts = [t or "" for t in rows.column("text").to_pylist()]
-                for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    ids.append(doc_id)
-                    held.append(np.concatenate([x, end]))
-                    count += len(x) + 1
-                    if count >= segment_tokens:
-                        yield flush()
-                        ids, held, count, segment = [], [], 0, segment + 1
+        for rows in slices(batches, rows=500):
+            texts = [t or "" for t in rows.column("text").to_pylist()]
+            for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                ids.append(doc_id)
+                held.append(np.concatenate([x, end]))
+                count += len(x) + 1
+                if count >= segment_tokens:
+                    yield flush()
+                    ids, held, count, segment = [], [], 0, segment + 1
         if ids:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // TASK_BYTES))
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(encode, SEGMENTS).write.mode("overwrite").parquet(path)
