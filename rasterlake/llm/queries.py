@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from . import chatformat, decontaminate, exactdedup, langid, minhash, mixing, quality, substrings, tokens, urlfilter
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as literals of the plan."""
+    structs = F.array(*(F.struct(*map(F.lit, r)) for r in rows)).cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
+    return spark.range(1).select(F.inline(structs))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -56,7 +63,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(EXTRA_TURNS, "conv_id bigint, turn bigint, role string, text string")
+    extra = literals(spark, EXTRA_TURNS, "conv_id bigint, turn bigint, role string, text string")
     return chatformat.chat_digests(turns.unionByName(extra))
 
 
@@ -70,7 +77,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = literals(spark, URL_RULES, "host string, path string, verdict string")
     return urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
