@@ -68,8 +68,9 @@ def mix(a, b, t) -> Column:
     return _double(a) * (1 - _double(t)) + _double(b) * _double(t)
 
 
-def smoothstep(a, b, t: Column) -> Column:
-    return mix(a, b, t * t * (3 - 2 * t))
+def smoothstep(a, b=None, t: Column | None = None) -> Column:
+    """From a to b along a cubic; with one argument, that value as it is."""
+    return mix(0.0, 1.0, a) if t is None else mix(a, b, t * t * (3 - 2 * t))
 
 
 def trig_interpolate(t: Column) -> Column:
@@ -140,6 +141,30 @@ def hash_of(*parts: Column) -> Column:
     return out
 
 
+def cast_bits(x: Column) -> Column:
+    """The bits of a number's 32-bit float as an unsigned integer (NaN as the quiet one without sign)."""
+    v = x.cast("float").cast("double")
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))
+    low = a < F.pow(F.lit(2.0), guess)
+    high = a >= F.pow(F.lit(2.0), guess + 1)
+    e = F.greatest(guess - low.cast("int") + high.cast("int"), F.lit(-127))
+    normal = (e + 127) * (1 << 23) + (a * F.pow(F.lit(2.0), 23 - e)).cast("bigint") - (1 << 23)
+    tiny = (a * 2.0**149).cast("bigint")
+    size = F.when(F.isnan(v), 0x7FC00000).when(a == float("inf"), 0x7F800000).when(a < 2.0**-126, tiny).otherwise(normal)
+    # 0 and -0 are equal; only their text tells them apart
+    negative = ~F.isnan(v) & ((v < 0) | v.cast("string").startswith("-"))
+    return (size + F.when(negative, 1 << 31).otherwise(0)).cast("bigint")
+
+
+def hash_of_float(x: Column) -> Column:
+    return fnv1a_u32(cast_bits(x))
+
+
+def hash_combine_float(a: Column, b: Column) -> Column:
+    return hash_combine(cast_bits(a), cast_bits(b))
+
+
 def as_unit_float(h: Column) -> Column:
     return h.cast("double") / float(MASK)
 
@@ -211,6 +236,16 @@ def packed_length(raw: Column) -> Column:
     return F.when(F.octet_length(raw) == 0, 0).otherwise(8 * (F.octet_length(raw) - 1) + tail)
 
 
+def packed_bit_string(raw: Column, start: int = 0, end: int | None = None) -> Column:
+    """The bits of bytes ``start`` to ``end``, highest first, up to the last one set in the whole; a comma before each byte but the first of all."""
+    pairs = F.hex(raw)
+    each = F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.lpad(F.conv(F.substring(pairs, i * 2 + 1, F.lit(2)), 16, 2), 8, "0"))
+    bits = F.substring(F.array_join(each, ""), F.lit(1), packed_length(raw))
+    some = F.substring(bits, F.lit(8 * start + 1), F.lit(2**30 if end is None else 8 * (end - start)))
+    commas = F.regexp_replace(some, r"([01]{8})(?=[01])", "$1,")
+    return F.when(F.octet_length(raw) == 0, "").otherwise(F.concat(F.when(F.length(some) > 0, "," if start else "").otherwise(""), commas))
+
+
 # -- paths
 
 
@@ -240,7 +275,9 @@ def lowercase(text: Column) -> Column:
 
 
 def parse_options(text: Column) -> Column:
-    """``-k=v`` words to a map; a word without ``=`` has the empty value."""
+    """``-k=v`` words to a map; a word without ``=`` has the empty value, of equal keys the last one counts."""
     words = F.filter(F.split(text, " "), lambda w: w.startswith("-"))
     pair = lambda w: F.struct(F.regexp_extract(w, "^-([^=]*)", 1).alias("k"), F.regexp_extract(w, "=(.*)$", 1).alias("v"))
-    return F.map_from_entries(F.transform(words, pair))
+    pairs = F.transform(words, pair)
+    last = lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"])
+    return F.map_from_entries(F.filter(pairs, last))

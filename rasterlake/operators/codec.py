@@ -189,13 +189,12 @@ def encode(image_rows: DataFrame, params: Params = Params(), compat: bool = Fals
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for i, side, pixels in batch[["image_id", "side", "pixels"]].itertuples(index=False):
                 try:
-                    out.append((i, encode_image(_cube(pixels, side), params, compat), None))
+                    row = (i, encode_image(_cube(pixels, side), params, compat), None)
                 except ValueError as e:
-                    out.append((i, None, str(e)))
-            yield pd.DataFrame(out, columns=["image_id", "container", "error"])
+                    row = (i, None, str(e))
+                yield pd.DataFrame([row], columns=["image_id", "container", "error"])
 
     return image_rows.mapInPandas(run, "image_id bigint, container binary, error string")
 
@@ -205,15 +204,13 @@ def decode(containers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for i, raw in batch[["image_id", "container"]].itertuples(index=False):
                 try:
                     rgb = decode_image(bytes(raw or b""))
-                    out.append((i, rgb.shape[1], rgb.ravel(), None))
+                    row = (i, rgb.shape[1], rgb.ravel(), None)
                 except (ValueError, struct.error) as e:
-                    out.append((i, None, None, str(e)))
-            frame = pd.DataFrame(out, columns=["image_id", "side", "pixels", "error"])
-            yield frame.astype({"side": "Int32"})
+                    row = (i, None, None, str(e))
+                yield pd.DataFrame([row], columns=["image_id", "side", "pixels", "error"]).astype({"side": "Int32"})
 
     return containers.mapInPandas(run, "image_id bigint, side int, pixels array<double>, error string")
 
@@ -225,30 +222,39 @@ def wavelet_only(planes: DataFrame, family: str = "cdf97") -> DataFrame:
     return map_planes(planes, lambda p: forward_planes(p, family))
 
 
-def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params()) -> DataFrame:
+#: Tasks that share an image's points.
+POINT_GROUPS = 8
+
+
+def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params(), groups: int = POINT_GROUPS) -> DataFrame:
     """Code every image at every point (iter, quality, attenuation): statistics, one row each, or the error.
 
-    The product of images and a bounded table of points is what a sweep is; each row is coded where it is.
+    The points are a bounded table, which is sent to all tasks; an image is sent
+    to ``groups`` of them, each of which codes it at its share of the points.
     """
     names = [f.split()[0] for f in STATS.split(", ")]
+    table = sorted((r.iter, r.quality, r.attenuation) for r in points.collect())
+    groups = max(1, min(groups, len(table)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from dataclasses import replace
 
         for batch in batches:
-            out = []
-            for i, side, pixels, k, q, a in batch[["image_id", "side", "pixels", "iter", "quality", "attenuation"]].itertuples(index=False):
-                try:
-                    rgb = _cube(pixels, side)
-                    raw = encode_image(rgb, replace(base, quality=q, attenuation=a))
-                    s = stats(decode_image(raw), rgb, len(raw))
-                    out.append((i, k, q, a, *(s[n] for n in names), None))
-                except ValueError as e:
-                    out.append((i, k, q, a, *[None] * len(names), str(e)))
-            yield pd.DataFrame(out, columns=["image_id", "iter", "quality", "attenuation", *names, "error"])
-
-    crossed = image_rows.join(F.broadcast(points), F.lit(True))
-    return crossed.mapInPandas(run, f"image_id bigint, iter int, quality double, attenuation double, {STATS}, error string")
+            for i, side, pixels, group in batch[["image_id", "side", "pixels", "group"]].itertuples(index=False):
+                out = []
+                for k, q, a in table[group::groups]:
+                    try:
+                        rgb = _cube(pixels, side)
+                        raw = encode_image(rgb, replace(base, quality=q, attenuation=a))
+                        s = stats(decode_image(raw), rgb, len(raw))
+                        out.append((i, k, q, a, *(s[n] for n in names), None))
+                    except ValueError as e:
+                        out.append((i, k, q, a, *[None] * len(names), str(e)))
+                yield pd.DataFrame(out, columns=["image_id", "iter", "quality", "attenuation", *names, "error"])
+
+    dealt = image_rows.select("image_id", "side", "pixels", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    parts = int(image_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts).mapInPandas(run, f"image_id bigint, iter int, quality double, attenuation double, {STATS}, error string")
 
 
 def codec_stats(image_rows: DataFrame, params: Params = Params()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def ssim_tall(pairs: DataFrame, patch: int, width: int, height: int, limit: int
     """image_id, ssim of single-channel pairs: patches of (2 * (patch div 2) + 1) squared cells around each cell.
 
     ``limit``: only centres with x and y below it (the compat form; see ``ssim_planes``).
-    Each cell is sent to the centres around it, by a table of offsets whose size the patch bounds.
+    Each cell is sent to the centres around it, by a table of offsets whose size
+    the patch bounds; ``ssim_images`` does the same by sums over boxes.
     """
     reach = patch // 2
     offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)))
@@ -84,6 +86,26 @@ def ms_ssim_planes(a: np.ndarray, r: np.ndarray, patch: int = 4, stride: int = 1
     return np.mean(out, axis=0)
 
 
+def plane_pairs(pairs: DataFrame, side: int) -> DataFrame:
+    """image_id, side, a, r (arrays): one row per image of single-channel pairs (image_id, y, x, a, r)."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "a", "r")))
+    rows = pairs.groupBy("image_id").agg(cells.alias("p"))
+    return rows.select("image_id", F.lit(side).alias("side"), F.transform("p", lambda p: p["a"]).alias("a"), F.transform("p", lambda p: p["r"]).alias("r"))
+
+
+def ssim_images(planes: DataFrame, patch: int, scales: bool = False) -> DataFrame:
+    """image_id, ssim of (image_id, side, a, r), one image at a time; ``scales``: the mean over its halvings."""
+    score = ms_ssim_planes if scales else ssim_planes
+
+    def run(batches):
+        for batch in batches:
+            for image, side, a, r in zip(batch.column("image_id").to_pylist(), batch.column("side").to_pylist(), *(batch.column(c) for c in "ar"), strict=True):
+                a, r = (np.asarray(x.values, float).reshape(1, side, side) for x in (a, r))
+                yield pa.RecordBatch.from_arrays([pa.array([image], pa.int64()), pa.array([float(score(a, r, patch)[0])])], names=["image_id", "ssim"])
+
+    return planes.select("image_id", "side", "a", "r").mapInArrow(run, "image_id bigint, ssim double")
+
+
 def stats(a: np.ndarray, r: np.ndarray, coded_bytes: int) -> dict:
     """The figures of one coding of the image r (3, h, w) whose decoding is a."""
     area = r.shape[1] * r.shape[2]

@@ -51,20 +51,21 @@ def _dot(weights, names) -> Column:
     return reduce(Column.__add__, (F.col(n) * w for w, n in zip(weights, names, strict=True)))
 
 
-def luminance(px: DataFrame) -> DataFrame:
-    return px.select(*KEY, _dot(LUMINANCE, ("v0", "v1", "v2")).alias("v"))
+def luminance(px: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The key, the columns of ``keep``, and the luminance as v."""
+    return px.select(*KEY, *keep, _dot(LUMINANCE, ("v0", "v1", "v2")).alias("v"))
 
 
-def _mapped(px: DataFrame, matrix) -> DataFrame:
-    return px.select(*KEY, *(_dot(row, ("v0", "v1", "v2")).alias(f"v{k}") for k, row in enumerate(matrix)))
+def _mapped(px: DataFrame, matrix, keep: tuple[str, ...]) -> DataFrame:
+    return px.select(*KEY, *keep, *(_dot(row, ("v0", "v1", "v2")).alias(f"v{k}") for k, row in enumerate(matrix)))
 
 
-def rgb_to_yuv(px: DataFrame) -> DataFrame:
-    return _mapped(px, RGB_TO_YUV)
+def rgb_to_yuv(px: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _mapped(px, RGB_TO_YUV, keep)
 
 
-def yuv_to_rgb(px: DataFrame) -> DataFrame:
-    return _mapped(px, YUV_TO_RGB)
+def yuv_to_rgb(px: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _mapped(px, YUV_TO_RGB, keep)
 
 
 def apply_gamma(tall: DataFrame, gamma: float) -> DataFrame:
@@ -82,30 +83,39 @@ def check_shape(images: DataFrame) -> DataFrame:
     return images.filter(F.assert_true(fine, F.lit("images must be square, their side a power of two")).isNull())
 
 
-def _lookup(points: DataFrame, tall: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    side = tall.select(F.col("image_id").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("c").alias("_c"), F.col("v").alias(name))
-    return points.join(side, (points["image_id"] == side["_i"]) & (points[x] == side["_x"]) & (points[y] == side["_y"]) & (points["c"] == side["_c"])).drop("_i", "_x", "_y", "_c")
+def _cells(tall: DataFrame) -> DataFrame:
+    return tall.select(F.col("image_id").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("c").alias("_c"), F.col("v").alias("_v"))
+
+
+def _at(points: DataFrame, cells: DataFrame, x: Column, y: Column):
+    return (points["image_id"] == cells["_i"]) & (points["c"] == cells["_c"]) & (x == cells["_x"]) & (y == cells["_y"])
 
 
 def bilinear_sample(tall: DataFrame, points: DataFrame, side: int) -> DataFrame:
-    """``points`` (image_id, c, u, v: 0 to 1, clamped) with ``sample``: four cells, weighted."""
+    """``points`` (image_id, c, u, v: 0 to 1, clamped) with ``sample``: four cells, weighted.
+
+    Each point asks for its four cells in one join, in which it must find them all.
+    """
     top = side - 1
     at = points
     for name, k in (("u", "x"), ("v", "y")):
         scaled = F.least(F.greatest(F.col(name) * top, F.lit(0.0)), F.lit(float(top)))
-        at = at.withColumn(f"{k}0", F.least(F.floor(scaled), F.lit(side - 2)).cast("int")).withColumn(f"d{k}", scaled - F.col(f"{k}0")).withColumn(f"{k}1", F.col(f"{k}0") + 1)
-    for name, x, y in (("t00", "x0", "y0"), ("t10", "x1", "y0"), ("t01", "x0", "y1"), ("t11", "x1", "y1")):
-        at = _lookup(at, tall, x, y, name)
-    lerp = lambda a, b, t: a * (1 - t) + b * t
-    mixed = lerp(lerp(F.col("t00"), F.col("t10"), F.col("dx")), lerp(F.col("t01"), F.col("t11"), F.col("dx")), F.col("dy"))
-    return at.select(*points.columns, mixed.alias("sample"))
+        at = at.withColumn(f"_{k}0", F.least(F.floor(scaled), F.lit(side - 2)).cast("int")).withColumn(f"_d{k}", scaled - F.col(f"_{k}0"))
+    share = lambda k, o: F.col(f"_d{k}") if o else 1 - F.col(f"_d{k}")
+    taps = [F.struct((F.col("_x0") + ox).alias("tx"), (F.col("_y0") + oy).alias("ty"), (share("x", ox) * share("y", oy)).alias("w")) for oy in (0, 1) for ox in (0, 1)]
+    asked = at.select(*points.columns, F.explode(F.array(*taps)).alias("_tap"))
+    cells = _cells(tall)
+    met = asked.join(cells, _at(asked, cells, F.col("_tap.tx"), F.col("_tap.ty")))
+    times = F.count(F.lit(1)) / 4
+    sampled = met.groupBy(*points.columns).agg((F.sum(F.col("_v") * F.col("_tap.w")) / times).alias("sample"), F.sequence(F.lit(1), times.cast("int")).alias("_times"))
+    return sampled.select(*points.columns, "sample", F.explode("_times").alias("_time")).drop("_time")
 
 
 def nearest_sample(tall: DataFrame, points: DataFrame, side: int) -> DataFrame:
     """``points`` with the cell that the truncated coordinates name, clamped."""
     cell = lambda name: F.least(F.greatest(F.col(name) * (side - 1), F.lit(0.0)), F.lit(float(side - 1))).cast("int")
-    at = points.withColumns({"x0": cell("u"), "y0": cell("v")})
-    return _lookup(at, tall, "x0", "y0", "sample").select(*points.columns, "sample")
+    at, cells = points.withColumns({"_x0": cell("u"), "_y0": cell("v")}), _cells(tall)
+    return at.join(cells, _at(at, cells, F.col("_x0"), F.col("_y0"))).select(*points.columns, F.col("_v").alias("sample"))
 
 
 def downsample(tall: DataFrame, factor: int, value: Column | None = None) -> DataFrame:

@@ -88,10 +88,44 @@ def merge_literals(found: DataFrame) -> DataFrame:
     return marked.groupBy("stream", "block").agg(F.bool_or("is_const").alias("is_const"), F.min("start").alias("start"), F.sum("len").alias("len"))
 
 
-def expand(table: DataFrame) -> DataFrame:
-    """stream, pos, is_const: one row per symbol of a block table."""
-    each = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")
-    return table.select("stream", each, "is_const")
+def encode_rows(streams: DataFrame, token, min_block) -> tuple[DataFrame, DataFrame]:
+    """The block table of ``streams`` and their literals: (stream, at, symbol), ``at`` counting a stream's literals from 0."""
+    order = Window.partitionBy("stream").orderBy("pos")
+    change = F.when(F.lag("symbol").over(order) == F.col("symbol"), 0).otherwise(1)
+    marked = streams.withColumn("run", F.sum(change).over(order))
+    length = F.count(F.lit(1)).over(Window.partitionBy("stream", "run"))
+    literals = marked.withColumn("len", length).filter(~((F.col("symbol") == F.lit(token)) & (F.col("len") >= max(2, min_block))))
+    literals = literals.select("stream", (F.row_number().over(order) - 1).cast("bigint").alias("at"), "symbol")
+    return blocks(streams, token, min_block), literals
+
+
+def expand(table: DataFrame, literals: DataFrame, token) -> DataFrame:
+    """stream, pos, symbol: what a block table and its literals stand for."""
+    before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("is_const"), 0).otherwise(F.col("len"))
+    placed = table.withColumn("first", F.coalesce(F.sum(own).over(before), F.lit(0)))
+    each = placed.select("stream", "is_const", "start", "first", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
+    each = each.withColumn("at", F.when(~F.col("is_const"), F.col("first") + F.col("pos") - F.col("start")))
+    return each.join(literals, ["stream", "at"], "left").select("stream", "pos", F.when(F.col("is_const"), F.lit(token)).otherwise(F.col("symbol")).alias("symbol"))
+
+
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """stream, pos, left, right of all places of either; null where one has none."""
+    a = left.select("stream", "pos", F.col("symbol").alias("left"), F.lit(True).alias("in_left"))
+    b = right.select("stream", "pos", F.col("symbol").alias("right"), F.lit(True).alias("in_right"))
+    met = a.join(b, ["stream", "pos"], "full")
+    return met.withColumn("differs", ~F.col("left").eqNullSafe(F.col("right")) | F.col("in_left").isNull() | F.col("in_right").isNull())
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """stream, pos, left, right where two tables of (stream, pos, symbol) differ."""
+    return _sides(left, right).filter("differs").select("stream", "pos", "left", "right")
+
+
+def first_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
+    """stream, pos: the first place at which two tables differ, one ending before the other included; -1 for equal streams."""
+    first = F.min(F.when(F.col("differs"), F.col("pos")))
+    return _sides(left, right).groupBy("stream").agg(F.coalesce(first, F.lit(-1)).alias("pos"))
 
 
 def ratios(table: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Wavelet transforms as small matrices.
+"""Wavelet transforms.
 
-A pass over n samples is one n x n matrix made from a filter bank: taps, and how
-positions beyond the edges fold back. One-dimensional transforms of arrays are
-column expressions over the matrix' non-zero entries; planes are transformed in
-batches in numpy, a pass being M P M'.
+A pass over n samples is linear: a filter bank's taps, and how positions beyond
+the edges fold back. One-dimensional transforms of short arrays are column
+expressions over the non-zero entries of the pass' matrix; planes are transformed
+in numpy, a few at a time, each tap being one gather along an axis.
 """
 
 from __future__ import annotations
@@ -79,33 +79,57 @@ def n_primary_passes(side: int, family: str) -> int:
 
 
 @cache
-def analysis_matrix(family: str, n: int) -> np.ndarray:
-    """Low-pass rows, then high-pass rows; positions beyond an edge are mirrored at the edge sample."""
-    b, m = BANKS[family], np.zeros((n, n))
-    for j in range(n // 2):
-        for k, (low, high) in enumerate(zip(b.low, b.high, strict=True)):
-            p = abs(2 * j + b.first + k)
-            p = p if p < n - 1 else 2 * (n - 1) - p
-            m[j, p] += low
-            m[n // 2 + j, p] += high
-    return m
+def analysis_taps(family: str, n: int) -> list[tuple[np.ndarray, float, float]]:
+    """(positions, low, high) of each tap for all n / 2 outputs; positions beyond an edge are mirrored at the edge sample."""
+    b, starts = BANKS[family], 2 * np.arange(n // 2) + BANKS[family].first
+    fold = lambda p: np.where(np.abs(p) < n - 1, np.abs(p), 2 * (n - 1) - np.abs(p))
+    return [(fold(starts + k), low, high) for k, (low, high) in enumerate(zip(b.low, b.high, strict=True))]
 
 
 @cache
+def synthesis_taps(family: str, n: int) -> list[tuple[int, np.ndarray, np.ndarray, float, float]]:
+    """(phase, low positions, high positions, weights): samples are twice the overlapping taps, the two halves mirrored each at its own edge."""
+    b, half, out = BANKS[family], n // 2, []
+    for phase in (0, 1):
+        for shift in range(int(-b.last / 2), int(-(b.first - 1) / 2) + 1):
+            k, at = phase - 2 * shift - b.first, np.arange(half) + shift
+            if 0 <= k < len(b.low_back):
+                low = np.where(at < 0, -at, np.where(at >= half, 2 * half - 1 - at, at))
+                high = np.where(at < 0, -at - 1, np.where(at >= half, 2 * half - 2 - at, at))
+                out.append((phase, low, half + high, 2 * b.low_back[k], 2 * b.high_back[k]))
+    return out
+
+
+def analyse(x: np.ndarray, family: str) -> np.ndarray:
+    """One pass along the last axis: averages, then details. A tap is one gather, so n samples cost n times the taps."""
+    out, half = np.zeros(x.shape), x.shape[-1] // 2
+    for at, low, high in analysis_taps(family, x.shape[-1]):
+        part = x[..., at]
+        out[..., :half] += low * part
+        out[..., half:] += high * part
+    return out
+
+
+def synthesise(x: np.ndarray, family: str) -> np.ndarray:
+    """The inverse of ``analyse``."""
+    out = np.zeros(x.shape)
+    for phase, low, high, w_low, w_high in synthesis_taps(family, x.shape[-1]):
+        out[..., phase::2] += w_low * x[..., low] + w_high * x[..., high]
+    return out
+
+
+def both_axes(x: np.ndarray, step, family: str) -> np.ndarray:
+    """A pass of planes (count, n, n): along rows, then along columns."""
+    return step(step(x, family).swapaxes(-1, -2), family).swapaxes(-1, -2)
+
+
+def analysis_matrix(family: str, n: int) -> np.ndarray:
+    """The pass over n samples as a matrix, for column expressions over short arrays."""
+    return analyse(np.eye(n), family).T
+
+
 def synthesis_matrix(family: str, n: int) -> np.ndarray:
-    """Samples from coefficients: twice the overlapping taps, the two halves mirrored each at its own edge."""
-    b, half, m = BANKS[family], n // 2, np.zeros((n, n))
-    for i in range(half):
-        for s in (0, 1):
-            for shift in range(int(-b.last / 2), int(-(b.first - 1) / 2) + 1):
-                k = s - 2 * shift - b.first
-                if not 0 <= k < len(b.low_back):
-                    continue
-                at = i + shift
-                low, high = (-at, -at - 1) if at < 0 else (2 * half - 1 - at, 2 * half - 2 - at) if at >= half else (at, at)
-                m[2 * i + s, low] += 2 * b.low_back[k]
-                m[2 * i + s, half + high] += 2 * b.high_back[k]
-    return m
+    return synthesise(np.eye(n), family).T
 
 
 def _apply(matrix: np.ndarray, signal: Column) -> Column:
@@ -134,8 +158,7 @@ def forward_planes(p: np.ndarray, family: str = "cdf97", passes: int | None = No
     """Transform planes (count, side, side): each pass splits the top-left block into four quadrants."""
     p, size = np.array(p, float), p.shape[-1]
     for name in families(size, family)[:passes]:
-        m = analysis_matrix(name, size)
-        p[:, :size, :size] = m @ p[:, :size, :size] @ m.T
+        p[:, :size, :size] = both_axes(p[:, :size, :size], analyse, name)
         size //= 2
     return p
 
@@ -144,8 +167,7 @@ def inverse_planes(p: np.ndarray, family: str = "cdf97", passes: int | None = No
     p = np.array(p, float)
     for k, name in reversed(list(enumerate(families(p.shape[-1], family)[:passes]))):
         size = p.shape[-1] >> k
-        m = synthesis_matrix(name, size)
-        p[:, :size, :size] = m @ p[:, :size, :size] @ m.T
+        p[:, :size, :size] = both_axes(p[:, :size, :size], synthesise, name)
     return p
 
 
@@ -154,9 +176,32 @@ def _details(p: np.ndarray, half: int) -> list[np.ndarray]:
     return [p[:, :half, half : 2 * half], p[:, half : 2 * half, :half], p[:, half : 2 * half, half : 2 * half]]
 
 
-def normalised_forward(p: np.ndarray, family: str = "cdf97", log_space: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def local_peak(averages: np.ndarray, reach: int = 0) -> np.ndarray:
+    """max(1, the largest absolute average of the cells at most ``reach`` away on both axes)."""
+    peak = np.maximum(1, np.abs(averages))
+    for axis in (-1, -2):
+        n, spread = peak.shape[axis], peak
+        for k in range(1, min(reach, n - 1) + 1):
+            low, high = np.arange(n - k), np.arange(k, n)
+            moved = spread.copy()
+            for to, at in ((high, low), (low, high)):
+                np.put_along_axis(moved, _along(to, axis, peak), np.maximum(np.take(moved, to, axis), np.take(peak, at, axis)), axis)
+            spread = moved
+        peak = spread
+    return peak
+
+
+def _along(at: np.ndarray, axis: int, x: np.ndarray) -> np.ndarray:
+    shape = [1] * x.ndim
+    shape[axis] = len(at)
+    return np.broadcast_to(at.reshape(shape), [len(at) if k == x.ndim + axis else n for k, n in enumerate(x.shape)])
+
+
+def normalised_forward(p: np.ndarray, family: str = "cdf97", log_space: bool = True, peak_reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and pass norms (count, passes).
 
+    ``peak_reach``: details are divided by the largest average within so many cells.
+
     After each pass details are divided by max(1, abs(average)) where the bank
     is the primary one, brought to log space, and, where a plane's largest
     exceeds 1, divided by it: that is the norm.
@@ -166,10 +211,9 @@ def normalised_forward(p: np.ndarray, family: str = "cdf97", log_space: bool = T
     norms = np.ones((len(p), len(names)))
     primary = n_primary_passes(side, family)
     for k, name in enumerate(names):
-        m = analysis_matrix(name, size)
-        p[:, :size, :size] = m @ p[:, :size, :size] @ m.T
+        p[:, :size, :size] = both_axes(p[:, :size, :size], analyse, name)
         size //= 2
-        peak = np.maximum(1, np.abs(p[:, :size, :size]))
+        peak = local_peak(p[:, :size, :size], peak_reach)
         for d in _details(p, size):
             if k < primary:
                 d /= peak
@@ -182,27 +226,31 @@ def normalised_forward(p: np.ndarray, family: str = "cdf97", log_space: bool = T
     return p, norms
 
 
-def normalised_inverse(p: np.ndarray, norms: np.ndarray, family: str = "cdf97", log_space: bool = True) -> np.ndarray:
+def normalised_inverse(p: np.ndarray, norms: np.ndarray, family: str = "cdf97", log_space: bool = True, peak_reach: int = 0) -> np.ndarray:
     p, side = np.array(p, float), p.shape[-1]
     primary = n_primary_passes(side, family)
     for k, name in reversed(list(enumerate(families(side, family)))):
         size = side >> k
-        peak = np.maximum(1, np.abs(p[:, : size // 2, : size // 2]))
+        peak = local_peak(p[:, : size // 2, : size // 2], peak_reach)
         for d in _details(p, size // 2):
             d *= norms[:, k][:, None, None]
             if log_space:
                 d[...] = np.copysign(np.expm1(np.abs(d)), d)
             if k < primary:
                 d *= peak
-        m = synthesis_matrix(name, size)
-        p[:, :size, :size] = m @ p[:, :size, :size] @ m.T
+        p[:, :size, :size] = both_axes(p[:, :size, :size], synthesise, name)
     return p
 
 
+#: Bytes of planes that are transformed at once.
+PLANES_BYTES = 8 << 20
+
+
 def map_planes(planes: DataFrame, function, extra: str = "") -> DataFrame:
     """Apply ``function`` (planes of one side as (count, side, side) -> planes, or (planes, {column: values})) to Arrow batches.
 
-    ``extra`` declares the added columns. Planes of several sides may be mixed.
+    ``extra`` declares the added columns. Planes of several sides may be mixed. At
+    most ``PLANES_BYTES`` of planes are transformed at once, or one plane.
     """
     schema = "image_id bigint, c int, side int, plane array<double>" + (", " + extra if extra else "")
 
@@ -210,14 +258,17 @@ def map_planes(planes: DataFrame, function, extra: str = "") -> DataFrame:
         for batch in batches:
             sides = batch.column("side").to_numpy()
             for side in np.unique(sides).tolist():
-                some = batch.filter(pa.array(sides == side))
-                values = some.column("plane").flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side)
-                out = function(values)
-                out, more = out if isinstance(out, tuple) else (out, {})
-                flat = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * side * side, pa.array(np.ascontiguousarray(out, float).reshape(-1)))
-                columns = {"image_id": some.column("image_id"), "c": some.column("c"), "side": some.column("side"), "plane": flat}
-                columns |= {k: pa.array(list(v)) for k, v in more.items()}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                alike = batch.filter(pa.array(sides == side))
+                step = max(1, PLANES_BYTES // (8 * side * side))
+                for at in range(0, alike.num_rows, step):
+                    some = alike.slice(at, step)
+                    values = some.column("plane").flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side)
+                    out = function(values)
+                    out, more = out if isinstance(out, tuple) else (out, {})
+                    flat = pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * side * side, pa.array(np.ascontiguousarray(out, float).reshape(-1)))
+                    columns = {"image_id": some.column("image_id"), "c": some.column("c"), "side": some.column("side"), "plane": flat}
+                    columns |= {k: pa.array(list(v)) for k, v in more.items()}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return planes.select("image_id", "c", F.col("side").cast("int").alias("side"), "plane").mapInArrow(run, schema)
 

@@ -83,7 +83,7 @@ def _pass(source: str, out: str, matrix: str, size: int) -> str:
     """One two-dimensional pass over the top-left block of (image_id, c, y, x, v)."""
     return f"""{out}_x as (select image_id, c, y, i as x, sum(w * v) as v from {source} join {matrix} on p = x where x < {size} and y < {size} group by image_id, c, y, i
 ), {out}_y as (select image_id, c, i as y, x, sum(w * v) as v from {out}_x join {matrix} on p = y group by image_id, c, i, x
-), {out} as (select * from {out}_y union all select image_id, c, y, x, v from {source} where x >= {size} or y >= {size})"""
+), {out} as materialized (select * from {out}_y union all select image_id, c, y, x, v from {source} where x >= {size} or y >= {size})"""
 
 
 _EMB2 = _EMB + ", e2 as (select image_id, 0 as c, i // 8 as y, i % 8 as x, v from emb)"
@@ -95,6 +95,70 @@ _NORM = f"""{_EV2}, {_matrix('cdf97', 16, 'm')}, {_pass('e2', 'z', 'm', 16)}, n
   from z d join z a on a.image_id = d.image_id and a.c = d.c and a.y = d.y % 8 and a.x = d.x % 8 where d.y >= 8 or d.x >= 8
 ), pk as (select image_id, c, greatest(1, max(abs(v))) as norm from n group by image_id, c)"""
 
+_LEVELS = ((0, 16, "cdf97"), (1, 8, "cdf97"), (2, 4, "haar"), (3, 2, "haar"))
+_MATRICES = ", ".join(_matrix(family, size, f"m{size}") for _, size, family in _LEVELS)
+_BACK = ", ".join(_inverse_matrix(family, size, f"i{size}") for _, size, family in _LEVELS)
+
+
+def _normalised(source: str) -> str:
+    """Every pass of 16 x 16 planes: l0 to l3 (details before their norm), n0 to n3 (norms), a4 (the last average)."""
+    out, below = [], source
+    for k, size, family in _LEVELS:
+        half, z = size // 2, f"z{k}"
+        peak = f"greatest(1, abs(b.v))" if family == "cdf97" else "1"
+        out += [
+            _pass(below, z, f"m{size}", size),
+            f"""d{k} as (select a.image_id, a.c, a.y, a.x, a.v / {peak} as v from {z} a join {z} b on b.image_id = a.image_id and b.c = a.c and b.y = a.y % {half} and b.x = a.x % {half}
+  where a.y >= {half} or a.x >= {half})""",
+            f"l{k} as materialized (select image_id, c, y, x, sign(v) * ln(1 + abs(v)) as v from d{k})",
+            f"n{k} as materialized (select image_id, c, greatest(1, max(abs(v))) as norm from l{k} group by image_id, c)",
+            f"a{k + 1} as materialized (select * from {z} where y < {half} and x < {half})",
+        ]
+        below = f"a{k + 1}"
+    return ", ".join(out)
+
+
+_COEFFICIENTS = " union all ".join(f"select image_id, c, y, x, v / norm as v from l{k} join n{k} using (image_id, c)" for k in range(4)) + " union all select * from a4"
+
+
+def _half(x: str) -> str:
+    """The nearest IEEE half of a value, after the nearest float."""
+    v = f"(({x})::float::double)"
+    unit = f"pow(2, greatest(floor(log2(abs({v}))), -14) - 10)"
+    return f"(case when abs({v}) < 1e-12 then 0.0 else round_even({v} / {unit}, 0) * {unit} end)"
+
+
+def _decoded() -> str:
+    """What a container of quality 1 gives back: passes forward, the finest details quantised, the others halves, passes back."""
+    out = [
+        "g as (select image_id, c, y, x, sign(v) * pow(abs(v), 1 / 2.2::double) as v from ev)",
+        "gp as (select image_id, y, x, max(case when c = 0 then v end) as v0, max(case when c = 1 then v end) as v1, max(case when c = 2 then v end) as v2 from g group by all)",
+        """gy as (select image_id, y, x, v0 * 0.299::double + v1 * 0.587::double + v2 * 0.114::double as v0, v0 * -0.14713::double + v1 * -0.28886::double + v2 * 0.436::double as v1,
+  v0 * 0.615::double + v1 * -0.51499::double + v2 * -0.10001::double as v2 from gp)""",
+        "e2 as materialized (select image_id, 0 as c, y, x, v0 as v from gy union all select image_id, 1, y, x, v1 from gy union all select image_id, 2, y, x, v2 from gy)",
+        _normalised("e2"),
+        """q0 as (select image_id, c, y, x, norm, v / norm as v, case when c = 0 then 1024.0::double else 256.0::double end as rate from l0 join n0 using (image_id, c)),
+q1 as (select *, 0.5 / rate as t, trunc(greatest(0, abs(v) - 0.5 / rate) / (1 - 0.5 / rate) * rate) as q from q0),
+c0 as (select image_id, c, y, x, norm::float::double as norm, case when q = 0 then 0 else (t * (1 - q / rate) + q / rate) * sign(v) end as v from q1)""",
+        *(f"c{k} as (select image_id, c, y, x, norm::float::double as norm, {_half('v / norm')} as v from l{k} join n{k} using (image_id, c))" for k in (1, 2, 3)),
+        f"r4 as materialized (select image_id, c, y, x, {_half('v')} as v from a4)",
+    ]
+    for k, size, family in reversed(_LEVELS):
+        half = size // 2
+        peak = "greatest(1, abs(b.v))" if family == "cdf97" else "1"
+        out += [
+            f"""w{k} as materialized (select * from r{k + 1} union all
+  select a.image_id, a.c, a.y, a.x, sign(a.v) * (exp(abs(a.v * a.norm)) - 1) * {peak} from c{k} a join r{k + 1} b on b.image_id = a.image_id and b.c = a.c and b.y = a.y % {half} and b.x = a.x % {half})""",
+            _pass(f"w{k}", f"r{k}", f"i{size}", size),
+        ]
+    out += [
+        "yp as (select image_id, y, x, max(case when c = 0 then v end) as v0, max(case when c = 1 then v end) as v1, max(case when c = 2 then v end) as v2 from r0 group by all)",
+        f"bk as ({_RGB.format('yp')})",
+        "bt as (select image_id, 0 as c, y, x, r as v from bk union all select image_id, 1, y, x, g from bk union all select image_id, 2, y, x, b from bk)",
+    ]
+    return f"with {_EV}, {_MATRICES}, {_BACK}, {', '.join(out)} select image_id, c, y, x, round(sign(v) * pow(abs(v), 2.2::double), 3) as v from bt"
+
+
 _BLOCKS = """
 blk as (
   select image_id, c, y // 2 as y, x // 2 as x, sum(cents) as ll, sum(cents * (1 - 2 * (x % 2))) as hl, sum(cents * (1 - 2 * (y % 2))) as lh,
@@ -154,14 +218,43 @@ def _rle_blocks(minimum: str, source: str = "ru", extra: str = "") -> str:
 _PAIR = _EV + ", pr as (select image_id, y, x, c, floor(v / 10) * 10 as a, v as r from ev)"
 
 
-def _ssim(limit: int) -> str:
-    return f"""with {_PAIR}, o as (select a.d as dy, b.d as dx from range(-2, 3) a(d), range(-2, 3) b(d)
-), m as (
+_LUMA = _EV + """, lum as (
+  select image_id, y, x, sum(v * w) as r, sum(floor(v / 10) * 10 * w) as a
+  from ev join (values (0, 0.17691::double), (1, 0.8124::double), (2, 0.01063::double)) k(c, w) using (c) group by image_id, y, x
+)"""
+
+
+def _similarity(source: str, name: str, reach: int, limit: int) -> str:
+    return f"""{name}_o as (select a.d as dy, b.d as dx from range({-reach}, {reach + 1}) a(d), range({-reach}, {reach + 1}) b(d)
+), {name}_m as (
   select image_id, y + dy as cy, x + dx as cx, avg(a) as a, avg(r) as r, var_pop(a) as va, var_pop(r) as vr, covar_pop(a, r) as cv
-  from pr, o where c = 0 and y + dy between 0 and {limit - 1} and x + dx between 0 and {limit - 1} group by all
-) select image_id, round(avg((2 * a * r + 1e-10) * (2 * cv + 9e-10) / ((a * a + r * r + 1e-10) * (va + vr + 9e-10))), 6) as ssim from m group by image_id"""
+  from {source}, {name}_o where y + dy between 0 and {limit - 1} and x + dx between 0 and {limit - 1} group by all
+), {name} as (select image_id, avg((2 * a * r + 1e-10) * (2 * cv + 9e-10) / ((a * a + r * r + 1e-10) * (va + vr + 9e-10))) as ssim from {name}_m group by image_id)"""
 
 
+def _ssim(limit: int) -> str:
+    return f"with {_LUMA}, {_similarity('lum', 's', 2, limit)} select image_id, round(ssim, 6) as ssim from s"
+
+
+_MS_SSIM = f"""with {_LUMA}, hl as (select image_id, y // 2 as y, x // 2 as x, avg(a) as a, avg(r) as r from lum group by image_id, y // 2, x // 2
+), {_similarity('lum', 's', 1, 16)}, {_similarity('hl', 'h', 1, 8)} select image_id, round((s.ssim + h.ssim) / 2, 6) as ms_ssim from s join h using (image_id)"""
+
+
+def _float_bits(x: str) -> str:
+    return f"cast('0b' || (({x})::float::bit::varchar) as bigint)"
+
+
+_HALF_COMPAT = f"""with {_EMB}, b as (select image_id, i, {_float_bits('v')} as u from emb
+), h as (
+  select image_id, i, case when u = 0 then 0 else ((u >> 16) & 32768) | ((u >> 13) & 1023) | (case when ((u >> 23) & 255) < 112 then 0 when ((u >> 23) & 255) > 143 then 31 else ((u >> 23) & 255) - 112 end << 10) end as h from b
+) select image_id, i, cast(h as bigint) as bits, case when h = 0 then 0.0::double else (case when h & 32768 > 0 then -1 else 1 end) * pow(2.0::double, ((h >> 10) & 31) + 112 - 127) * (1 + (h & 1023) / 1024.0::double) end as v from h"""
+
+_SPOILT = f"""{_STREAMS}, sp as (
+  select stream, pos, case when stream % 3 = 0 and pos = stream % 100 + 20 then 'other' else symbol end as symbol from st where stream % 5 <> 0 or pos < 90
+), sd as (
+  select coalesce(a.stream, b.stream) as stream, coalesce(a.pos, b.pos) as pos, a.symbol as "left", b.symbol as "right", a.stream is null or b.stream is null or a.symbol is distinct from b.symbol as differs
+  from st a full join sp b on a.stream = b.stream and a.pos = b.pos
+)"""
 
 
 def _fnv(x: str) -> str:
@@ -229,8 +322,11 @@ from z join ev on ev.image_id = z.image_id and ev.c = z.c and ev.x in (ix, ix +
     "cdf53_2d_level1": f"with {_EV2}, {_matrix('cdf53', 16, 'm')}, {_pass('e2', 'z', 'm', 16)} select image_id, c, y, x, round(v, 9) as v from z",
     "dwt_multilevel": f"with {_EMB2}, {_HAAR3} select image_id, y, x, round(v, 6) as v from z",
     "wavelet_only_encode": f"with {_EV2}, {_PRIMARY16} select image_id, c, y, x, round(v, 4) as v from z",
-    "dwt_roundtrip_error": "select vec_id as image_id, true as exact from embeddings",
-    "normalised_roundtrip_error": f"with {_EV} select distinct image_id, c, true as exact from ev",
+    "dwt_roundtrip": f"with {_EV} select image_id, c, y, x, round(v, 2) as v from ev",
+    "normalised_roundtrip": f"with {_EV} select image_id, c, y, x, round(v, 2) as v from ev",
+    "normalised_dwt_multilevel": f"with {_EV2}, {_MATRICES}, {_normalised('e2')}, z as ({_COEFFICIENTS}) select image_id, c, y, x, round(v, 6) as v from z",
+    "pass_norms_multilevel": f"with {_EV2}, {_MATRICES}, {_normalised('e2')} " + " union all ".join(f"select image_id, c, {k}::bigint as pass, round(norm, 6) as norm from n{k}" for k in range(4)),
+    "local_peaks": f"with {_EV} select a.image_id, a.c, a.y, a.x, greatest(1, max(abs(b.v)))::double as v from ev a join ev b on a.image_id = b.image_id and a.c = b.c and abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 group by all",
     "normalised_dwt_level1": f"with {_NORM} select image_id, c, y, x, round(v / norm, 6) as v from n join pk using (image_id, c)",
     "pass_norms": f"with {_NORM} select image_id, c, 0::bigint as pass, round(norm, 6) as norm from pk",
     "quant_rates": """select side, channel_kind, p as precinct, cast(least(32767, base * pow(2, cast(round(log2(side)) as bigint) - p)) as bigint) as rate
@@ -246,27 +342,42 @@ select image_id, precinct, case when precinct = 0 then 0 when y < half then 0 wh
     "precinct_emptiness": f"""with {_EMB2} select image_id, case when greatest(y, x) = 0 then 0 when greatest(y, x) = 1 then 1 when greatest(y, x) < 4 then 2 else 3 end as precinct, bool_and(abs(v) <= 0.2) as is_empty from e2 group by 1, 2""",
     "hilbert_to_curve": f"with recursive {_hilbert(4, _GRID16)} select x, y, t from curve",
     "hilbert_from_curve": f"with recursive {_hilbert(4, _GRID16)} select t, x, y from curve",
-    "hilbert_order_symbols": f"with recursive {_hilbert(3, _GRID8)}, {_EMB}, {_SYM} select image_id, t, symbol from sym join curve on x = i % 8 and y = i // 8",
+    "hilbert_order_symbols": f"with recursive {_hilbert(3, _GRID8)}, {_EMB}, {_SYM} select image_id, string_agg(symbol::varchar, ',' order by t) as symbols from sym join curve on x = i % 8 and y = i // 8 group by image_id",
     "symbol_frequency": f"with {_COUNTS} select * from f",
     "model_pmf": f"with {_MODEL} select l_returnflag, symbol, pmf from model",
     "model_cmf": f"with {_MODEL} select l_returnflag, symbol, cmf from model",
     "shannon_entropy": f"with {_MODEL} select l_returnflag, round(-sum(pmf / 65535.0::double * log2(pmf / 65535.0::double)), 6) as entropy from model group by 1",
     "bits_per_symbol": f"with {_COUNTS} select l_returnflag, count(*) as n_symbols, cast(ceil(log2(count(*))) as bigint) as bits from f group by 1",
     "rle_blocks": f"with {_RLE}, {_rle_blocks('2')} select stream, block, is_const, start, len from tb",
-    "rle_expand": f"with {_RLE}, {_rle_blocks('2')} select stream, unnest(range(start, start + len)) as pos, is_const from tb",
+    "rle_expand": f"with {_STREAMS} select stream, pos, symbol from st",
+    "rle_roundtrip": f"with {_STREAMS} select size::bigint as size, stream, pos, symbol from st, (select unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) as size)",
+    "rle_best_block_size": f"""with {_RLE}, rs as (select ru.*, size from ru, (select unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) as size)), {_rle_blocks('size', 'rs', ', size')}, co as (
+  select stream, size, sum(case when is_const then 0 else len end) + count(*) as coded from tb group by stream, size
+) select stream, cast(arg_min(size, coded * 10000 + size) as bigint) as size from co group by stream""",
+    "rle_block_size_study": f"with {_RLE}, rs as (select ru.*, size from ru, (select unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) as size)), {_rle_blocks('size', 'rs', ', size')} select size, cast(sum(case when is_const then 0 else len end) as bigint) as n_literals, count(*) as n_blocks, cast(sum(len) as bigint) as n_input from tb group by size",
     "rle_encoded_length": f"with {_STREAMS} select stream, count(*) as n from st group by stream",
     "rle_ratio": f"with {_RLE}, {_rle_blocks('2')}, s as (select stream, cast(sum(len) as bigint) as n_input, cast(sum(case when is_const then 0 else len end) as bigint) as n_literals, count(*) as n_blocks from tb group by stream) select *, round((n_literals + n_blocks) / n_input, 6) as ratio from s",
     "rle_block_size_sweep": f"with {_RLE}, rs as (select ru.*, size from ru, (select unnest([2, 3, 4, 8]) as size)), {_rle_blocks('size', 'rs', ', size')} select size, cast(sum(case when is_const then 0 else len end) as bigint) as n_literals, count(*) as n_blocks, cast(sum(len) as bigint) as n_input from tb group by size",
-    "arith_roundtrip": f"with {_STREAMS} select stream, count(*) as n, count(distinct symbol) as n_symbols, true as same from st group by stream",
+    "arith_roundtrip": f"with {_STREAMS}, k as (select stream, count(*) as n, count(distinct symbol) as n_symbols from st group by stream) select stream, n, n_symbols, pos, symbol from st join k using (stream)",
+    "pair_mse": f"with {_PAIR} select image_id, round(avg((a - r) * (a - r)), 4) as mse from pr group by image_id",
     "mse": f"with {_PAIR} select image_id, round(avg((a - r) * (a - r)), 4) as mse from pr group by image_id",
     "psnr": f"with {_PAIR}, q as (select image_id, c, 20 * log10(max(r)) - 10 * log10(avg((a - r) * (a - r))) as l from pr group by image_id, c) select image_id, round(sum(l), 5) as psnr_sum, round(avg(l), 5) as psnr from q group by image_id",
     "ssim": _ssim(16),
     "ssim_compat": _ssim(4),
-    "ssim_planes": _ssim(16),
+    "ssim_patches": _ssim(16),
+    "ms_ssim": _MS_SSIM,
+    "half_roundtrip": _HALF_COMPAT,
+    "hash_float": f"with h as (select event_id, {_float_bits('value')} as b, {_float_bits('event_id')} as a from events) select event_id, {_fnv('b')} as h, {_combine('a', 'b')} as combined, b as bits from h",
+    "packed_bits": """with p as (select page_id, coalesce(substr(url, 1, 12), '') as t from pages), b as (
+  select page_id, t, list_aggregate(list_transform(range(0, octet_length(encode(t))), lambda i: lpad(format('{:b}', cast('0x' || substr(hex(encode(t)), 2 * i + 1, 2) as bigint)), 8, '0')), 'string_agg', ',') as s from p
+) select page_id, regexp_replace(s, '0*$', '') as bits from b""",
+    "constants": "select * from (values ('pi', pi()), ('two_pi', 2 * pi()), ('four_pi', 4 * pi()), ('half_pi', pi() / 2), ('root_2', sqrt(2)), ('phi', (1 + sqrt(5)) / 2), ('inv_phi', 2 / (1 + sqrt(5))), ('ln_2', ln(2)), ('float_max', 3.4028234663852886e38::double)) t(name, value)",
+    "stream_mismatch": f"with {_SPOILT} select stream, coalesce(min(case when differs then pos end), -1) as pos from sd group by stream",
+    "stream_differences": f'with {_SPOILT} select stream, pos, "left", "right" from sd where differs',
     "math_functions": f"""select event_id, case when {_P} < 0 then -1.0 else 1.0 end::double as sign, round({_P} * {_P}, 4) as sqr, round({_P} * {_P} * {_P}, 3) as cub, round(({_P} / 100) * ({_P} / 100) * ({_P} / 100) * ({_P} / 100), 6) as pow4,
   ((event_id - 500) % 7 + 7) % 7 as comp_mod, case when {_P} > 50 then 1.0 else 0.0 end::double as heaviside, least(greatest({_P}, -20), 30)::double as clamp, round(least(greatest({_P} / 100, 0), 1), 6)::double as saturate,
   round({_P} % 1.0, 6) as fract, round(1 * (1 - {_P} / 100) + 5 * ({_P} / 100), 6) as mix, round(radians({_P}), 6) as rad, round(degrees({_P} / 100), 5) as deg from events""",
-    "interp_curves": f"""select event_id, round(2 * (1 - {_T} * {_T} * (3 - 2 * {_T})) + 5 * ({_T} * {_T} * (3 - 2 * {_T})), 6) as smooth, round(cos({_T} * {math.pi!r} + {math.pi!r}) * 0.5 + 0.5, 6) as trig,
+    "interp_curves": f"""select event_id, round(2 * (1 - {_T} * {_T} * (3 - 2 * {_T})) + 5 * ({_T} * {_T} * (3 - 2 * {_T})), 6) as smooth, round({_T}, 6) as smooth_unit, round(cos({_T} * {math.pi!r} + {math.pi!r}) * 0.5 + 0.5, 6) as trig,
   round(case when {_T} < 0.5 then 0.5 - 0.5 * sin(pow(abs({_T} * 2 - 1), 2) * {math.pi / 2!r}) else 0.5 + 0.5 * sin(pow(abs({_T} * 2 - 1), 2) * {math.pi / 2!r}) end, 6) as trig_exp,
   round((1 / (1 + exp(-({_T} * 2 - 1) * 4)) - 1 / (1 + exp(-4.0::double))) / (1 - 2 / (1 + exp(-4.0::double))), 6) as sigmoid from events""",
     "fnv1a_u32": f"select event_id, {_fnv('event_id')} as h from events",
@@ -281,10 +392,9 @@ select image_id, precinct, case when precinct = 0 then 0 when y < half then 0 wh
     "path_parts": rf"""with {_PATH}, f as (select *, regexp_extract(p, '[^/\\]*$') as filename from pp)
 select page_id, filename, regexp_replace(p, '[/\\]?[^/\\]*$', '') as parent, case when filename like '_%.%' then regexp_extract(filename, '.(\.[^.]*)$', 1) else '' end as extension,
   case when filename like '_%.%' then regexp_replace(p, '\.[^./\\]*$', '') else p end || '.exr' as as_exr, regexp_replace(p, '[^/\\]*$', '') || 'x' as renamed, lower(p) as lower from f""",
-    "rle_sparse_roundtrip": "select i as vec_id, true as same, true as whole, 1000 as n from range(0, 100) r(i)",
     "command_options": "select page_id, coalesce(url, '') as source, '0.5' as quality, '' as flag, 3::bigint as n from pages",
     "first_mismatch": f"with {_PAIR} select image_id, c, coalesce(min(case when a <> r then y * 16 + x end), -1) as first_mismatch from pr group by image_id, c",
-    "codec_decode": f"with {_EV} select distinct image_id, true as close from ev",
+    "codec_decode": _decoded(),
 }
 
 
