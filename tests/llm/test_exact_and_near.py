@@ -44,10 +44,33 @@ def test_runs_answer_lookups(spark, make):
     index = exactdedup.DigestIndex(spark)
     index.flush(make([(1, "a"), (2, "b")]))
     index.flush(make([(3, "a")]))
-    found = index.lookup([hashlib.sha256(b"a").digest()]).collect()
+    found = index.lookup([hashlib.sha256(b"a").digest(), hashlib.sha256(b"none").digest()]).collect()
     assert sorted(r.doc_id for r in found) == [1, 3]
-    merged = index.compact(index.entries(), "digest").collect()
-    assert sorted(r.group_size for r in merged) == [1, 2]
+    assert sorted(r.group_size for r in index.compact().collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("memtables", "fan_in", "bits"), [(8, 4, 8), (5, 2, 8), (27, 3, 1), (1, 4, 8)])
+def test_compaction_of_many_runs(spark, make, monkeypatch, memtables, fan_in, bits):
+    """Sizes and best rows of all digests, through several levels, with filters that err often as well."""
+    monkeypatch.setattr(exactdedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(exactdedup, "BLOCK_BITS", 32768 if bits > 1 else 64)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, i, i, i]), "x" * rng.randrange(3) + " " * rng.randrange(3) + f"y{rng.randrange(150)}") for i in range(600)]
+    index = exactdedup.DigestIndex(spark, memtables=memtables, fan_in=fan_in)
+    index.flush(make(rows))
+    got = {bytes(r.digest): (r.group_size, r.best.n_chars, None if r.best.inverse_id is None else ~r.best.inverse_id) for r in index.compact().collect()}
+    want = {}
+    for i, t in rows:
+        want.setdefault(hashlib.sha256(t.replace(" ", "").encode()).digest(), []).append((len(t), i))
+    assert set(got) == set(want)
+    for digest, group in want.items():
+        longest = max(n for n, _ in group)
+        best = min((i for n, i in group if n == longest), key=lambda i: (i is None, i))
+        assert got[digest] == (len(group), longest, best)
+    expected = 1
+    while memtables > 1:
+        memtables, expected = -(-memtables // fan_in), expected + 1
+    assert len(index.levels) == expected
 
 
 def shingles(text, size):
