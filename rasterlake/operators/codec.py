@@ -1,7 +1,16 @@
 """The image codec: gamma and colour, normalised transform, precincts, quantiser, curve order, runs, entropy code.
 
-Images are coded independently, in Arrow batches; nothing is shuffled. The
-container is self-describing: with its parameters appended, it decodes alone.
+Images are coded independently, in Arrow batches; nothing is shuffled. With its
+parameters appended, a container decodes alone; without them the decoder is told
+those that the headers lack.
+
+Container, little-endian: image header (magic, width, height, channels; gamma,
+quantiser gamma, quality, attenuation as floats; flags, precincts, bytes of a
+symbol), then per channel a header (magic, u8 precincts, u8 first coded one, two
+bytes of padding, number of raw values, number of norms), the raw values as halves,
+a rate per precinct, the norms as floats, and from the first coded precinct on: magic,
+u8 flags, a byte of padding, u16 entries of the model, bytes of code, entries of the
+block table; the model as (u16 symbol, u32 share), the block table as u16, the code.
 """
 
 from __future__ import annotations
@@ -9,6 +18,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -27,6 +37,9 @@ from .wavelets import normalised_forward, normalised_inverse, precincts
 IMAGE_MAGIC, CHANNEL_MAGIC, PRECINCT_MAGIC = 0xBA45F007, 0x328AB01C, 0x176A77BB
 SYMBOL_BYTES = 2
 EMPTY = 1
+#: The bits of the encoder's flags.
+FLAGS = {"verbose": 1, "wavelet_out": 2, "debug_coder": 4, "use_rle": 8, "hilbert": 16}
+IMAGE_HEAD, CHANNEL_HEAD, PRECINCT_HEAD = "IIIIffffIII", "IBBxxii", "IBxHii"
 
 
 class ByteReader:
@@ -78,7 +91,7 @@ def _token(rate: int, compat: bool) -> int:
     return rate - 1 if compat else rate
 
 
-def encode_channel(plane: np.ndarray, luma: bool, p: Params, compat: bool = False) -> bytes:
+def encode_channel(plane: np.ndarray, luma: bool, p: Params, compat: bool = False, ieee: bool = True) -> bytes:
     side = len(plane)
     n, table = side.bit_length(), rates(side, p, luma)
     coefficients, norms = normalised_forward(plane[None], log_space=p.log_space)
@@ -86,28 +99,28 @@ def encode_channel(plane: np.ndarray, luma: bool, p: Params, compat: bool = Fals
     order = {h: np.argsort(hilbert_order(h)) if p.hilbert else np.arange(h * h) for h in (1 << k for k in range(n - 1))}
     raw = [c[:1, 0]] + [q.ravel() for k in range(1, min(first, n)) for q in _quadrants(c, k, side)]
     raw = np.concatenate(raw)
-    out = [struct.pack("<IIII", CHANNEL_MAGIC, first, n, len(raw)), to_half_bits(raw).tobytes(), np.array(table, "<i4").tobytes(), norms[0].astype("<f4").tobytes()]
+    out = [struct.pack("<" + CHANNEL_HEAD, CHANNEL_MAGIC, n, min(first, 255), len(raw), len(norms[0])), to_half_bits(raw, ieee).tobytes(), np.array(table, "<i4").tobytes(), norms[0].astype("<f4").tobytes()]
     for k in range(first, n):
         symbols, empty = zip(*(_symbols(q.ravel()[order[1 << (k - 1)]], table[k], _thresholds(table[k], k, n, p), p) for q in _quadrants(c, k, side)), strict=True)
         symbols = np.concatenate(symbols)
         if all(empty):
-            out.append(struct.pack("<IIIII", PRECINCT_MAGIC, EMPTY, 0, 0, 0))
+            out.append(struct.pack("<" + PRECINCT_HEAD, PRECINCT_MAGIC, EMPTY, 0, 0, 0))
             continue
         literals, blocks = rle.encode(symbols, _token(table[k], compat), 32) if p.use_rle else (symbols, [])
         model = entropy.build_model(literals) if len(literals) else []
         code = entropy.arith_encode(literals, model) if model else b""
-        out.append(struct.pack("<IIIII", PRECINCT_MAGIC, 0, len(model), len(blocks), len(code)))
+        out.append(struct.pack("<" + PRECINCT_HEAD, PRECINCT_MAGIC, 0, len(model), len(code), len(blocks)))
         out += [struct.pack("<HI", s, share) for s, share, _ in model]
         out += [np.array(blocks, "<u2").tobytes(), code]
     return b"".join(out)
 
 
-def decode_channel(r: ByteReader, side: int, p: Params, compat: bool = False) -> np.ndarray:
-    magic, first, n, n_raw = r.read("IIII")
-    if magic != CHANNEL_MAGIC or n != side.bit_length():
+def decode_channel(r: ByteReader, side: int, p: Params, compat: bool = False, ieee: bool = True) -> np.ndarray:
+    magic, n, first, n_raw, n_norms = r.read(CHANNEL_HEAD)
+    if magic != CHANNEL_MAGIC or n != side.bit_length() or n_norms != n - 1 or n_raw < 1:
         raise ValueError("not a channel")
-    raw, table = from_half_bits(r.array("<u2", n_raw)).astype(float), r.array("<i4", n).tolist()
-    norms = r.array("<f4", n - 1).astype(float)
+    raw, table = from_half_bits(r.array("<u2", n_raw), ieee).astype(float), r.array("<i4", n).tolist()
+    norms = r.array("<f4", n_norms).astype(float)
     c = np.zeros((side, side))
     c[0, 0], at = raw[0], 1
     for k in range(1, min(first, n)):
@@ -115,7 +128,7 @@ def decode_channel(r: ByteReader, side: int, p: Params, compat: bool = False) ->
             q[...] = raw[at : at + q.size].reshape(q.shape)
             at += q.size
     for k in range(first, n):
-        magic, flags, n_model, n_blocks, n_code = r.read("IIIII")
+        magic, flags, n_model, n_code, n_blocks = r.read(PRECINCT_HEAD)
         if magic != PRECINCT_MAGIC:
             raise ValueError("not a precinct")
         if flags & EMPTY:
@@ -139,37 +152,91 @@ def decode_channel(r: ByteReader, side: int, p: Params, compat: bool = False) ->
     return normalised_inverse(c[None], norms[None], log_space=p.log_space)[0]
 
 
-def encode_image(rgb: np.ndarray, params: Params = Params(), compat: bool = False) -> bytes:
-    """The container of an image (3, side, side) with a power of two of 8 or more as side."""
+def encode_image(rgb: np.ndarray, params: Params = Params(), compat: bool = False, bare: bool = False) -> bytes:
+    """The container of an image (3, side, side) with a power of two of 8 or more as side.
+
+    ``bare``: without its parameters appended; together with ``compat`` also with truncated halves.
+    """
     side, p = rgb.shape[1], params.clean()
     if rgb.shape != (3, side, side) or side & (side - 1) or side < 8:
         raise ValueError("images must have 3 channels and be square, their side a power of two of 8 or more")
     x = rgb if p.image_gamma == 1 else np.sign(rgb) * np.abs(rgb) ** (1 / p.image_gamma)
     yuv = np.tensordot(np.array(RGB_TO_YUV), x, 1)
-    head = struct.pack("<IIIIffffIII", IMAGE_MAGIC, side, side, 3, p.image_gamma, p.quantise_gamma, p.quality, p.attenuation, p.use_rle * 8 + p.hilbert * 16, side.bit_length(), SYMBOL_BYTES)
+    flags = p.use_rle * FLAGS["use_rle"] + p.hilbert * FLAGS["hilbert"]
+    head = struct.pack("<" + IMAGE_HEAD, IMAGE_MAGIC, side, side, 3, p.image_gamma, p.quantise_gamma, p.quality, p.attenuation, flags, side.bit_length(), SYMBOL_BYTES)
+    body = head + b"".join(encode_channel(yuv[k], k == 0, p, compat, not (compat and bare)) for k in range(3))
     tail = json.dumps(p.as_dict() | {"compat": compat}).encode()
-    return head + b"".join(encode_channel(yuv[k], k == 0, p, compat) for k in range(3)) + tail + struct.pack("<I", len(tail))
+    return body if bare else body + tail + struct.pack("<I", len(tail))
+
 
+def _appended(raw: bytes) -> dict | None:
+    """The parameters at the end of a container, or None where there are none."""
+    size = struct.unpack("<I", raw[-4:])[0] if len(raw) >= 4 else 0
+    tail = raw[-4 - size : -4] if 0 < size <= len(raw) - 4 else b""
+    if not (tail.startswith(b"{") and tail.endswith(b"}")):
+        return None
+    try:
+        return json.loads(tail)
+    except ValueError:
+        return None
 
-def read_header(raw: bytes) -> tuple[int, Params, bool, ByteReader]:
-    """(side, parameters, compat, a cursor at the first channel); refuses what is no container."""
+
+def read_header(raw: bytes, params: Params = Params(), compat: bool = False) -> tuple[int, Params, bool, ByteReader]:
+    """(side, parameters, compat, a cursor at the first channel); refuses what is no container.
+
+    ``params`` and ``compat`` are for containers without parameters of their own;
+    what the header holds comes from there.
+    """
     r = ByteReader(raw)
-    magic, w, h, channels, *_, n, symbol = r.read("IIIIffffIII")
+    magic, w, h, channels, gamma, quantise_gamma, quality, attenuation, flags, n, symbol = r.read(IMAGE_HEAD)
     if magic != IMAGE_MAGIC or channels != 3 or symbol != SYMBOL_BYTES or w != h or n != w.bit_length():
         raise ValueError("not an image container")
-    (size,) = struct.unpack("<I", raw[-4:])
-    options = json.loads(raw[-4 - size : -4])
-    compat = options.pop("compat")
-    return w, Params(**options), compat, r
-
-
-def decode_image(raw: bytes) -> np.ndarray:
-    side, p, compat, r = read_header(raw)
-    yuv = np.stack([decode_channel(r, side, p, compat) for _ in range(3)])
+    options = _appended(raw)
+    if options is not None:
+        compat = options.pop("compat")
+        return w, Params(**options), compat, r
+    known = {"image_gamma": gamma, "quantise_gamma": quantise_gamma, "quality": quality, "attenuation": attenuation}
+    return w, replace(params, **known, use_rle=bool(flags & FLAGS["use_rle"]), hilbert=bool(flags & FLAGS["hilbert"])), compat, r
+
+
+def decode_image(raw: bytes, params: Params = Params(), compat: bool = False) -> np.ndarray:
+    side, p, compat, r = read_header(raw, params, compat)
+    ieee = not compat or _appended(raw) is not None
+    yuv = np.stack([decode_channel(r, side, p, compat, ieee) for _ in range(3)])
     x = np.tensordot(np.array(YUV_TO_RGB), yuv, 1)
     return x if p.image_gamma == 1 else np.sign(x) * np.abs(x) ** p.image_gamma
 
 
+def sizes_of(raw: bytes) -> list[tuple[str, int | None, int | None, int]]:
+    """(part, channel, precinct, bytes) of everything in a container; the bytes add up to its length."""
+    side, _, _, r = read_header(raw)
+    out = [("image header", None, None, r.at)]
+
+    def take(part: str, channel: int, precinct: int | None, n: int) -> None:
+        out.append((part, channel, precinct, n))
+
+    for c in range(3):
+        _, n, first, n_raw, n_norms = r.read(CHANNEL_HEAD)
+        take("channel header", c, None, struct.calcsize("<" + CHANNEL_HEAD))
+        for part, size in (("raw", 2 * n_raw), ("rates", 4 * n), ("norms", 4 * n_norms)):
+            take(part, c, None, size)
+            r.seek(r.at + size)
+        for k in range(first, n):
+            _, _, n_model, n_code, n_blocks = r.read(PRECINCT_HEAD)
+            take("precinct header", c, k, struct.calcsize("<" + PRECINCT_HEAD))
+            for part, size in (("model", 6 * n_model), ("blocks", 2 * n_blocks), ("code", n_code)):
+                take(part, c, k, size)
+                r.seek(r.at + size)
+    return [*out, ("parameters", None, None, len(raw) - r.at)]
+
+
+def with_flags(params: Params, flags: int) -> tuple[Params, dict[str, bool]]:
+    """Parameters with the encoder's flags added to what is on already, and which of the other flags are set."""
+    on = {name: bool(flags & bit) for name, bit in FLAGS.items()}
+    changed = replace(params, use_rle=params.use_rle or on.pop("use_rle"), hilbert=params.hilbert or on.pop("hilbert"))
+    return changed, {k: v for k, v in on.items() if k in ("verbose", "wavelet_out", "debug_coder")}
+
+
 # -- DataFrames
 
 
@@ -184,14 +251,14 @@ def _cube(pixels, side: int) -> np.ndarray:
     return np.asarray(pixels, float).reshape(3, side, side)
 
 
-def encode(image_rows: DataFrame, params: Params = Params(), compat: bool = False) -> DataFrame:
+def encode(image_rows: DataFrame, params: Params = Params(), compat: bool = False, bare: bool = False) -> DataFrame:
     """image_id, container, error: a row that can't be coded has its reason and no container."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, side, pixels in batch[["image_id", "side", "pixels"]].itertuples(index=False):
                 try:
-                    row = (i, encode_image(_cube(pixels, side), params, compat), None)
+                    row = (i, encode_image(_cube(pixels, side), params, compat, bare), None)
                 except ValueError as e:
                     row = (i, None, str(e))
                 yield pd.DataFrame([row], columns=["image_id", "container", "error"])
@@ -199,14 +266,26 @@ def encode(image_rows: DataFrame, params: Params = Params(), compat: bool = Fals
     return image_rows.mapInPandas(run, "image_id bigint, container binary, error string")
 
 
-def decode(containers: DataFrame) -> DataFrame:
-    """image_id, side, pixels, error of (image_id, container)."""
+def sizes(containers: DataFrame) -> DataFrame:
+    """image_id, part, channel, precinct, n_bytes of (image_id, container): what each part of a container takes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, raw in batch[["image_id", "container"]].itertuples(index=False):
+                frame = pd.DataFrame([(i, *row) for row in sizes_of(bytes(raw))], columns=["image_id", "part", "channel", "precinct", "n_bytes"])
+                yield frame.astype({"channel": "Int32", "precinct": "Int32"})
+
+    return containers.filter("container is not null").mapInPandas(run, "image_id bigint, part string, channel int, precinct int, n_bytes bigint")
+
+
+def decode(containers: DataFrame, params: Params = Params(), compat: bool = False) -> DataFrame:
+    """image_id, side, pixels, error of (image_id, container); ``params`` and ``compat`` for containers without parameters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, raw in batch[["image_id", "container"]].itertuples(index=False):
                 try:
-                    rgb = decode_image(bytes(raw or b""))
+                    rgb = decode_image(bytes(raw or b""), params, compat)
                     row = (i, rgb.shape[1], rgb.ravel(), None)
                 except (ValueError, struct.error) as e:
                     row = (i, None, None, str(e))
@@ -237,8 +316,6 @@ def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params(), gro
     groups = max(1, min(groups, len(table)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from dataclasses import replace
-
         for batch in batches:
             for i, side, pixels, group in batch[["image_id", "side", "pixels", "group"]].itertuples(index=False):
                 out = []

@@ -736,6 +736,14 @@ def codec_encode(spark, d):
     return coded.select("image_id", F.octet_length("container").alias("n_bytes"), "error")
 
 
+@query
+def codec_sizes(spark, d):
+    """What the parts of every container take, and their sum."""
+    coded = codec.encode(_images(spark, d), Params(quality=0.5))
+    parts = codec.sizes(coded).groupBy("image_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    return parts.join(coded.select("image_id", F.octet_length("container").cast("bigint").alias("container_bytes")), "image_id")
+
+
 @query
 def codec_decode(spark, d):
     """The cells of every image as its container gives them back."""

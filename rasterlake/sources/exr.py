@@ -1,4 +1,4 @@
-"""OpenEXR scan-line images: uncompressed and ZIP, HALF and FLOAT channels."""
+"""OpenEXR images, scan lines or tiles of one level: uncompressed, RLE and ZIP; HALF, FLOAT and UINT channels, also sub-sampled ones."""
 
 from __future__ import annotations
 
@@ -14,16 +14,45 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the published file format.
 MAGIC, VERSION = 20000630, 2
-NONE, ZIPS, ZIP = 0, 2, 3
-LINES = {NONE: 1, ZIPS: 1, ZIP: 16}
-KINDS = {1: "<f2", 2: "<f4"}
-
-
-def _unpacked(data: bytes, size: int) -> bytes:
-    """Undo deflate, byte deltas and the split of even and odd bytes; blocks that did not shrink are stored plain."""
+NONE, RLE, ZIPS, ZIP = 0, 1, 2, 3
+LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16}
+KINDS = {0: "<u4", 1: "<f2", 2: "<f4"}
+TILED = 0x200
+
+
+def _runs_undone(data: bytes) -> bytes:
+    """Counts below 0 are followed by so many bytes as they are, others by one byte that occurs once more than that."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at] - 256 if data[at] > 127 else data[at]
+        out.append(data[at + 1 : at + 1 - n] if n < 0 else data[at + 1 : at + 2] * (n + 1))
+        at += 1 - n if n < 0 else 2
+    return b"".join(out)
+
+
+def _runs_made(data: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(data):
+        n = 1
+        while n < 128 and data[at + n : at + n + 1] == data[at : at + 1]:
+            n += 1
+        if n >= 3:
+            out.append(bytes([n - 1]) + data[at : at + 1])
+            at += n
+            continue
+        end = at + 1
+        while end < len(data) and end - at < 127 and not (data[end : end + 1] == data[end + 1 : end + 2] == data[end + 2 : end + 3]):
+            end += 1
+        out.append(bytes([256 - (end - at)]) + data[at:end])
+        at = end
+    return b"".join(out)
+
+
+def _unpacked(data: bytes, size: int, compression: int = ZIP) -> bytes:
+    """Undo deflate or runs, byte deltas and the split of even and odd bytes; blocks that did not shrink are stored plain."""
     if len(data) == size:
         return data
-    d = np.frombuffer(zlib.decompress(data), np.uint8).astype(np.int64)
+    d = np.frombuffer(_runs_undone(data) if compression == RLE else zlib.decompress(data), np.uint8).astype(np.int64)
     d[1:] -= 128
     t = np.cumsum(d).astype(np.uint8)
     out, half = np.empty(size, np.uint8), (size + 1) // 2
@@ -31,11 +60,12 @@ def _unpacked(data: bytes, size: int) -> bytes:
     return out.tobytes()
 
 
-def _packed(data: bytes) -> bytes:
+def _packed(data: bytes, compression: int = ZIP) -> bytes:
     b = np.frombuffer(data, np.uint8)
     t = np.concatenate([b[::2], b[1::2]]).astype(np.int64)
     t[1:] = np.diff(t) + 128
-    out = zlib.compress(t.astype(np.uint8).tobytes())
+    plain = t.astype(np.uint8).tobytes()
+    out = _runs_made(plain) if compression == RLE else zlib.compress(plain)
     return out if len(out) < len(data) else data
 
 
@@ -61,49 +91,69 @@ def read_exr(raw: bytes) -> np.ndarray:
     w, h, channels, c = x1 - x0 + 1, y1 - y0 + 1, [], 0
     while head["channels"][c]:
         name, c = _string(head["channels"], c)
-        kind = struct.unpack_from("<i", head["channels"], c)[0]
+        kind, _, sx, sy = struct.unpack_from("<iiii", head["channels"], c)
         if kind not in KINDS:
             raise ValueError(f"pixel type {kind} is not supported")
-        channels.append((name, np.dtype(KINDS[kind])))
+        channels.append((name, np.dtype(KINDS[kind]), sx, sy))
         c += 16
-    n_blocks = -(-h // LINES[compression])
-    row_bytes = w * sum(k.itemsize for _, k in channels)
-    out = {name: np.empty((h, w), np.float32) for name, _ in channels}
-    for offset in struct.unpack_from(f"<{n_blocks}Q", raw, at + 1):
-        y, size = struct.unpack_from("<ii", raw, offset)
-        lines = min(LINES[compression], h - (y - y0))
-        block, p = _unpacked(raw[offset + 8 : offset + 8 + size], lines * row_bytes), 0
-        for line in range(lines):
-            for name, kind in channels:
-                out[name][y - y0 + line] = np.frombuffer(block, kind, w, p)
-                p += w * kind.itemsize
+    out = {name: np.zeros((h, w), np.float32) for name, *_ in channels}
+
+    def place(block: bytes, left: int, top: int, width: int, lines: int) -> None:
+        """Put the rows of a block at (left, top), in the image's coordinates; a sub-sampled value fills its cell."""
+        sizes = [(name, kind, sx, sy, len(range(-(-left // sx) * sx, left + width, sx))) for name, kind, sx, sy in channels]
+        total = sum(n * kind.itemsize for y in range(top, top + lines) for _, kind, _, sy, n in sizes if y % sy == 0)
+        block, at = _unpacked(block, total, compression), 0
+        for y in range(top, top + lines):
+            for name, kind, sx, sy, n in sizes:
+                if y % sy:
+                    continue
+                row = np.repeat(np.frombuffer(block, kind, n, at).astype(np.float32), sx)
+                first = -(-left // sx) * sx - x0
+                out[name][y - y0 : y - y0 + sy, first : first + len(row)] = row[: w - first]
+                at += n * kind.itemsize
+
+    if struct.unpack_from("<I", raw, 4)[0] & TILED:
+        tw, th, mode = struct.unpack_from("<IIB", head["tiles"])
+        if mode & 15:
+            raise ValueError("several levels of tiles are not supported")
+        for offset in struct.unpack_from(f"<{-(-w // tw) * -(-h // th)}Q", raw, at + 1):
+            tx, ty, _, _, size = struct.unpack_from("<5i", raw, offset)
+            place(raw[offset + 20 : offset + 20 + size], x0 + tx * tw, y0 + ty * th, min(tw, w - tx * tw), min(th, h - ty * th))
+    else:
+        for offset in struct.unpack_from(f"<{-(-h // LINES[compression])}Q", raw, at + 1):
+            y, size = struct.unpack_from("<ii", raw, offset)
+            place(raw[offset + 8 : offset + 8 + size], x0, y, w, min(LINES[compression], h - (y - y0)))
     names = ["R", "G", "B"] if all(k in out for k in "RGB") else [next(iter(out))] * 3
     return np.stack([out[k] for k in names])
 
 
-def write_exr(rgb: np.ndarray, compression: int = ZIP) -> bytes:
-    """HALF channels, stored in the order B, G, R; a single plane is written as grey."""
+def write_exr(rgb: np.ndarray, compression: int = ZIP, tile: int = 0) -> bytes:
+    """HALF channels, stored in the order B, G, R; a single plane is written as grey. ``tile``: the side of tiles instead of scan lines."""
     rgb = np.asarray(rgb, np.float32)
     rgb = np.repeat(rgb, 3, 0) if len(rgb) == 1 else rgb
     _, h, w = rgb.shape
     item = lambda name, kind, value: name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(value)) + value
     window = struct.pack("<4i", 0, 0, w - 1, h - 1)
     listed = b"".join(k + b"\0" + struct.pack("<iiii", 1, 0, 1, 1) for k in (b"B", b"G", b"R")) + b"\0"
-    head = struct.pack("<II", MAGIC, VERSION) + b"".join(
+    tiles = (("tiles", "tiledesc", struct.pack("<IIB", tile, tile, 0)),) if tile else ()
+    head = struct.pack("<II", MAGIC, VERSION | (TILED if tile else 0)) + b"".join(
         item(*x)
         for x in (
             ("channels", "chlist", listed), ("compression", "compression", bytes([compression])), ("dataWindow", "box2i", window), ("displayWindow", "box2i", window),
-            ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<ff", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1)),
+            ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<ff", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1)), *tiles,
         )
     ) + b"\0"
     with np.errstate(over="ignore"):
         half = rgb[::-1].astype("<f2").transpose(1, 0, 2)
-    step, blocks, offsets = LINES[compression], [], []
-    at = len(head) + 8 * -(-h // step)
-    for y in range(0, h, step):
-        data = half[y : y + step].tobytes()
-        data = data if compression == NONE else _packed(data)
-        blocks.append(struct.pack("<ii", y, len(data)) + data)
+    if tile:
+        parts = [(struct.pack("<iiii", x // tile, y // tile, 0, 0), half[y : y + tile, :, x : x + tile]) for y in range(0, h, tile) for x in range(0, w, tile)]
+    else:
+        parts = [(struct.pack("<i", y), half[y : y + LINES[compression]]) for y in range(0, h, LINES[compression])]
+    blocks, offsets, at = [], [], len(head) + 8 * len(parts)
+    for where, cells in parts:
+        data = cells.tobytes()
+        data = data if compression == NONE else _packed(data, compression)
+        blocks.append(where + struct.pack("<i", len(data)) + data)
         offsets.append(at)
         at += len(blocks[-1])
     return head + struct.pack(f"<{len(offsets)}Q", *offsets) + b"".join(blocks)

@@ -1,4 +1,5 @@
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -76,6 +77,50 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("container is not null").count() == 3
 
 
+@pytest.mark.parametrize("tile", [0, 5, 64])
+@pytest.mark.parametrize("compression", [exr.NONE, exr.RLE, exr.ZIPS, exr.ZIP])
+def test_exr_tiles_and_runs(compression, tile):
+    image = np.random.default_rng(1).choice([0.0, 0.5, 3.25], (3, 23, 17), p=[0.8, 0.1, 0.1])
+    assert (exr.read_exr(exr.write_exr(image, compression, tile)) == image).all()
+
+
+def test_exr_runs():
+    for data in (b"", b"a", b"aaaa" * 100, bytes(range(256)) * 2, b"abbbbbbcdd" * 40, b"ab" * 300 + b"c" * 300):
+        assert exr._runs_undone(exr._runs_made(data)) == data
+
+
+def test_exr_sub_sampled_and_integer_channels():
+    """A grey image whose one channel has every second value of every second line, as 32-bit integers."""
+    w, h = 6, 4
+    item = lambda name, kind, value: name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(value)) + value
+    head = struct.pack("<II", exr.MAGIC, exr.VERSION) + item("channels", "chlist", b"Y\0" + struct.pack("<iiii", 0, 0, 2, 2) + b"\0") + item("compression", "compression", b"\0") + item("dataWindow", "box2i", struct.pack("<4i", 0, 0, w - 1, h - 1)) + b"\0"
+    lines = [struct.pack("<3I", 1 + y, 2 + y, 3 + y) if y % 2 == 0 else b"" for y in range(h)]
+    blocks = [struct.pack("<ii", y, len(line)) + line for y, line in enumerate(lines)]
+    at = np.cumsum([len(head) + 8 * h, *(len(b) for b in blocks[:-1])])
+    got = exr.read_exr(head + struct.pack(f"<{h}Q", *at.tolist()) + b"".join(blocks))
+    assert got[0].tolist() == [[1, 1, 2, 2, 3, 3]] * 2 + [[3, 3, 4, 4, 5, 5]] * 2
+
+
+def test_bare_containers_and_sizes(spark):
+    """Without parameters appended a container is as the format says, and decodes with what the caller knows."""
+    rng = np.random.default_rng(5)
+    image = rng.uniform(1, 60, (3, 32, 32))
+    for compat in (False, True):
+        p = Params(quality=0.8, threshold=0.3, hilbert=False)
+        raw, full = codec.encode_image(image, p, compat, bare=True), codec.encode_image(image, p, compat)
+        assert (full.startswith(raw) or compat) and struct.unpack_from("<IIII", raw) == (codec.IMAGE_MAGIC, 32, 32, 3)
+        assert struct.unpack_from("<IBBxxii", raw, 44)[:3] == (codec.CHANNEL_MAGIC, 6, 4)
+        known = Params(threshold=0.3)
+        back = codec.decode_image(raw, known, compat)
+        assert np.abs(back - codec.decode_image(full)).max() < (2 if compat else 1e-3)
+        for x in (raw, full):
+            assert sum(n for *_, n in codec.sizes_of(x)) == len(x)
+        assert codec.sizes_of(raw)[-1] == ("parameters", None, None, 0)
+    with pytest.raises(ValueError):
+        codec.decode_image(b"\0" * 200)
+    assert codec.with_flags(Params(use_rle=False, hilbert=False), 8 | 2) == (Params(use_rle=True, hilbert=False), {"verbose": False, "wavelet_out": True, "debug_coder": False})
+
+
 @pytest.mark.parametrize("compression", [exr.NONE, exr.ZIPS, exr.ZIP])
 def test_exr_bytes(compression):
     image = np.random.default_rng(0).normal(size=(3, 37, 21)).astype(np.float32)
