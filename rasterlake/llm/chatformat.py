@@ -38,7 +38,8 @@ def unescape_role(role: Column) -> Column:
 def chain(turns: DataFrame) -> DataFrame:
     """Turns (conv_id, turn, role, text) as trees in which each turn answers the one before.
 
-    Ordered by turn, then role, then text, nulls first; every repeated row is a turn.
+    Ordered by turn, then role, then text, nulls first; every repeated row is a
+    turn. Texts may be of any length; other columns are dropped.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     pos = F.row_number().over(order).cast("bigint")
@@ -133,7 +134,14 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """Format linear conversations, write them, read them back and digest what was read."""
+    """Format linear conversations (conv_id, turn, role, text), write them, read them back and digest what was read.
+
+    One row per conv_id, null one included: conv_id, n_turns, turns_sha256,
+    loss_chars, loss_sha256, formatted_chars. Null role and text are empty; equal
+    turns are in order of role and text, nulls first, and repeated rows are each a
+    turn; an empty table gives an empty result. Texts may be of any length, a
+    conversation being one value; other columns are not read.
+    """
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
     nodes = scratch.save(chain(turns), "nodes")

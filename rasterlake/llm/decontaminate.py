@@ -274,6 +274,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """
     index = PositionalIndex(docs, items, window)
     hits = index.scratch.save(index.phrases(), "hits")
+    index.scratch.drop("item_terms", "places", "postings", "candidates")
     hits = hits.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_hit", "items")
     rows = index.lengths.join(hits, index.lengths["doc_id"].eqNullSafe(F.col("_d")) & index.lengths["th"].eqNullSafe(F.col("_t")), "left")
     names = F.coalesce("items", F.expr("cast(array() as array<string>)"))
@@ -292,5 +293,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """
     index = PositionalIndex(docs, items, window)
     hits = index.scratch.save(index.phrases().select(F.col("doc_id").alias("__leak_id"), F.col("th").alias("__leak_hash")), "hits")
+    index.scratch.drop("item_terms", "places", "postings", "candidates", "stats")
     same = docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (F.xxhash64(docs["text"]) == F.col("__leak_hash"))
     return docs.join(small_side(hits), same, "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .batches import binaries, slices
 from .components import connected_components
-from .scratch import Scratch, small_side
+from .scratch import Scratch, clear, made, small_side
 from .words import WordHashes, lower_blank_words, mix64
 
 BANDS, ROWS = 32, 4
@@ -130,6 +130,7 @@ class NearDuplicates:
         met = self.scratch.save(keyed.join(shared, "key"), "met")
         degrees = met.groupBy("rep").agg(F.sum("m").alias("degree"))
         self.members = self.scratch.save(met.drop("m").join(degrees, "rep"), "members")
+        self.scratch.drop("met")
 
     def _needed(self, df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         """The rows of ``df`` whose key is in ``wanted`` (a column of the same name)."""
@@ -209,7 +210,7 @@ class NearDuplicates:
         """Write the links among new candidate pairs."""
         pairs = self.scratch.save(self._estimated(pairs), f"pairs{self.rounds}")
         links = self.scratch.save(self._verified(pairs), f"links{self.rounds}")
-        self.scratch.drop(f"sets{self.rounds}")
+        self.scratch.drop(f"sets{self.rounds}", f"pairs{self.rounds}")
         self.rounds += 1
         return links
 
@@ -287,7 +288,11 @@ class NearDuplicates:
                 pairs = pairs.unionByName(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
             links = self._compare(pairs.distinct())
             known = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            mark = made()
             found = self.scratch.save(connected_components(known.unionByName(links)), f"found{turn}")
+            clear(self.scratch.spark, mark)
+            if turn:
+                self.scratch.drop(f"buckets{turn - 1}", f"open{turn - 1}")
             rest = crowded.select("key", "rep", "n", "degree")
             open_ = rest.join(found, rest["rep"] == found["node"], "left").select("key", "rep", "n", "degree", F.coalesce("component", "rep").alias("comp"))
         return found
@@ -313,6 +318,8 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int
       of their texts is linked, and share the answer to ``kept``. Rows without id
       are linked with nothing and kept, with a null component.
     * An empty table gives an empty result; other columns are not read.
+    * Texts may be of any length: a task holds a bounded piece of its texts, or
+      one text, and sends its set once to each task that compares it.
 
     The chance to miss a link of two texts at the threshold is
     (1 - s ** rows) ** bands: 5e-11 at 0.85, 5e-8 at 0.8.
@@ -321,10 +328,11 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each component; rows without doc_id all stay.
+    """``docs``, all its columns, with one row of each component.
 
     The least doc_id stays; of rows that repeat it, the first by hash of the
-    text, source and lang.
+    text, then by all columns as JSON; fully equal rows are one. Rows without
+    doc_id and texts without words all stay; an empty table stays empty.
     """
     near = NearDuplicates(docs, size, similarity)
     gone = near.scratch.save(near.result().filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
@@ -333,6 +341,6 @@ def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, similarity:
     if repeated.isEmpty():
         return left
     few = small_side(repeated)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.to_json(F.struct(*docs.columns)))
     once = left.join(few, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
     return left.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -212,7 +212,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
+    """``docs``, all its columns, without the rows that the classifier rejects.
+
+    Rows equal in doc_id, text, source and lang stay or go together; null and
+    empty texts are judged as empty; without labels all rows stay, and an empty
+    table stays empty.
+    """
     bad = quality_scores(docs, labels, **options).filter(~F.col("kept")).select(F.col("key").alias("__rejected")).distinct()
     bad = Scratch(docs.sparkSession, "rejected").save(bad, "keys")
     key = F.xxhash64(docs["doc_id"], docs["text"], docs["source"], docs["lang"], docs["doc_id"].isNull())

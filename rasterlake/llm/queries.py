@@ -57,6 +57,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix's shares alone: source, source_size and target of every source."""
+    docs = table(spark, sf_dir, "documents").select("source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.source_targets(docs).select("source", "source_size", (F.round("target", 6) + 0.0).alias("target"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -142,6 +148,20 @@ select doc_id, len(w) as n_words, (select count(*) from gone where gone.doc_id =
 from d left join kept using (doc_id)
 """
 
+MIX_TARGETS_SQL = r"""
+with s as (
+  select source, cast(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as bigint) as size from documents group by source
+), w as (select *, (row_number() over (order by encode(source) nulls last) - 1) % 3 + 1 as weight from s
+), r as (select *, row_number() over (order by 3.0::double * size / weight, encode(source) nulls last) as k, 3.0::double * size / weight as ratio from w
+), l as (
+  select n.k, (select sum(size) from r) - coalesce(sum(3 * r.size), 0) as rest, (select sum(weight) from r) - coalesce(sum(r.weight), 0) as weights
+  from (select unnest(range(0, (select count(*) + 1 from r))) as k) n left join r on r.k <= n.k group by n.k
+), level as (
+  select l.k, rest / weights::double as level from l left join r on r.k = l.k + 1 where r.k is null or r.ratio >= rest / weights::double order by l.k limit 1
+)
+select source, size as source_size, round(case when r.k <= level.k then 3.0::double * size else weight * level end, 6) as target from r, level
+"""
+
 OP6_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -196,6 +216,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
+    "mix_targets": mix_targets,
 }
 ORACLE_SQL = {
     "op1_minhash_dedup": OP1_SQL,
@@ -204,4 +225,5 @@ ORACLE_SQL = {
     "op6_chat_format": OP6_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "mix_targets": MIX_TARGETS_SQL,
 }

@@ -25,12 +25,34 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: The folders that this process has made and not cleared.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made() -> int:
+    """How many scratch folders there are: a mark for ``clear``."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch folders made since a mark. Results that are not written yet still read theirs."""
+    for base in _MADE[since:]:
+        _delete(spark, base)
+    del _MADE[since:]
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared root."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self.base)
 
     def path(self, table: str) -> str:
         return f"{self.base}/{table}"
@@ -41,10 +63,10 @@ class Scratch:
         df.write.options(**{"parquet.block.size": str(ROW_GROUP_BYTES)} | options).mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
-    def drop(self, table: str) -> None:
-        """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        """Delete tables that no later plan reads."""
+        for table in tables:
+            _delete(self.spark, self.path(table))
 
 
 #: Keys that are sent to every task; beyond this they are joined by shuffle.

@@ -138,6 +138,40 @@ def test_near_empty_and_dropping(make):
     assert ids.count(7) == 1 and ids.count(None) == 2 and {1000, 1001, 1002} <= set(ids) and len(set(ids)) < 16
 
 
+def test_dropping_needs_no_other_columns(spark):
+    """Of rows that repeat an id, the same one stays whatever their order, also where only a further column differs."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "a b c d e f g", "z"), (3, long, "l"), (4, long + " end", "m"), (5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more string")
+    kept = [sorted((r.doc_id, r.more) for r in minhash.drop_near_duplicates(d).collect() if r.doc_id != 5) for d in (docs, docs.repartition(5, "more"))]
+    assert kept[0] == kept[1] == [(1, "x"), (3, "l")]
+
+
+def test_scratch_is_shared_or_refused():
+    from types import SimpleNamespace
+
+    from rasterlake.llm.scratch import shared_root
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    remote = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        shared_root(remote)
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from rasterlake.llm.scratch import Scratch, clear, made
+
+    mark = made()
+    scratch = Scratch(spark, "test")
+    scratch.save(spark.range(3), "a")
+    folder = scratch.base.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder + "/a")
+    clear(spark, mark)
+    assert not os.path.exists(folder) and made() == mark
+
+
 def test_components_of_a_long_path(spark):
     n = 200
     order = random.Random(2).sample(range(n), n)

@@ -99,6 +99,15 @@ def test_chat_roundtrip(spark):
     assert chatformat.chat_digests(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_chats_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a" * 50_000), (2, 0, "assistant", None)]
+    turns = spark.createDataFrame(rows, CHAT)
+    odd = turns.withColumns({c: F.lit("x") for c in ("node", "parent", "score", "leaf", "depth", "c", "up", "head", "body", "loss", "begin", "nc", "formatted", "turns")})
+    assert sorted(map(str, chatformat.chat_digests(odd).collect())) == sorted(map(str, chatformat.chat_digests(turns).collect()))
+
+
 def test_best_branch_of_reply_trees(spark):
     tree = [  # two roots in one conversation, an orphan, a cycle
         (1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "bad", -5.0), (1, 3, 1, "assistant", "good", 2.0), (1, 4, 3, "user", "thanks", 0.5),
