@@ -33,30 +33,47 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _running(rows: DataFrame, order: list, sums: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` with their place in ``order`` (a total one) from 0, and the sums of columns over all rows before.
+
+    The rows are dealt to tasks by ranges; one row per range is summed up in one
+    task, the rest within the ranges.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranged = scratch.save(ranged, name)
+    each = {"place": F.lit(1)} | {k: F.col(c) for k, c in sums.items()}
+    over = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    per = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in each.items()))
+    per = per.select("_range", *(over(f"_{k}", Window.orderBy("_range")).alias(f"_{k}") for k in each))
+    inner = Window.partitionBy("_range").orderBy(*order)
+    return ranged.join(F.broadcast(per), "_range").select(*rows.columns, *((F.col(f"_{k}") + over(c, inner)).alias(k) for k, c in each.items()))
+
+
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT, weights: tuple = WEIGHTS) -> DataFrame:
     """Per source of (source, size): source_size, n_docs, target, tree (its place in code-point order).
 
     Weights go round in code-point order of the sources, null last. Targets
     share the total by weight, none above ``max_repeat`` times its source. A
     source is capped if its cap / weight lies below the level that is left for
-    the rest, which is found with running sums in order of that ratio. The
-    windows are over the table of sources, one row each.
+    the rest, which is found with running sums in order of that ratio. An empty
+    table has no sources.
     """
+    scratch = Scratch(sizes.sparkSession, "targets")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    name = F.col("source").asc_nulls_last()
+    per = _running(per, [name], {}, scratch, "named").withColumnRenamed("place", "tree")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    per = per.withColumn("place", F.row_number().over(by_name) - 1).withColumn("weight", F.element_at(cycle, (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
+    per = per.withColumn("weight", F.element_at(cycle, (F.pmod("tree", F.lit(len(weights))) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * max_repeat).withColumn("ratio", F.col("cap") / F.col("weight"))
-    total, all_weight = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    left = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (all_weight - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("capped", F.col("ratio") < left).withColumn("total", total).withColumn("all_weight", all_weight)
-    held = lambda c: F.coalesce(F.sum(F.when(F.col("capped"), F.col(c))).over(everything), F.lit(0))
-    level = F.try_divide(F.col("total") - held("cap"), F.col("all_weight") - held("weight"))
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level)
-    return per.select("source", "source_size", "n_docs", F.coalesce(target, F.lit(0.0)).alias("target"), F.col("place").cast("bigint").alias("tree"))
+    total, all_weight = (v or 0 for v in per.agg(F.sum("source_size"), F.sum("weight")).first())
+    per = _running(per, [F.col("ratio"), name], {"caps": "cap", "weights": "weight"}, scratch, "ratios")
+    level = (F.lit(total) - F.col("caps")) / (F.lit(float(all_weight)) - F.col("weights"))
+    per = scratch.save(per.withColumn("capped", F.col("ratio") < level), "capped")
+    caps, capped_weight = (v or 0 for v in per.filter("capped").agg(F.sum("cap"), F.sum("weight")).first())
+    rest = (total - caps) / (all_weight - capped_weight) if all_weight > capped_weight else 0.0
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * rest)
+    return per.select("source", "source_size", "n_docs", target.alias("target"), F.col("tree").cast("bigint").alias("tree"))
 
 
 #: A unit: rows with the same doc_id and size in one source. ``unit`` is a hash that orders and draws; it needs not be unique.

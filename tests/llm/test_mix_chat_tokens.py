@@ -54,6 +54,17 @@ def test_mix_meets_targets(make):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_targets_of_many_sources(spark):
+    """Ranges of sources, ties, caps, sources without words."""
+    rng = np.random.default_rng(2)
+    sizes = {f"é{k}" if k % 7 == 0 else f"s{k}": int(rng.choice([0, 1, 5, 5, 5, 100, 4000])) for k in range(400)} | {None: 50}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint").repartition(6)
+    got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want)
+    assert [got[s] for s in want] == pytest.approx([want[s] for s in want])
+
+
 def test_mix_corpus_repeats_rows(make):
     rows, docs = mixed(make)
     report = Counter()
