@@ -207,6 +207,20 @@ def decode_image(raw: bytes, params: Params = Params(), compat: bool = False) ->
     return x if p.image_gamma == 1 else np.sign(x) * np.abs(x) ** p.image_gamma
 
 
+def raw_values(raw: bytes) -> list[np.ndarray]:
+    """The values that each channel holds uncoded, in their order."""
+    _, _, _, r = read_header(raw)
+    out = []
+    for _ in range(3):
+        _, n, first, n_raw, n_norms = r.read(CHANNEL_HEAD)
+        out.append(from_half_bits(r.array("<u2", n_raw)))
+        r.seek(r.at + 4 * n + 4 * n_norms)
+        for _ in range(first, n):
+            _, _, n_model, n_code, n_blocks = r.read(PRECINCT_HEAD)
+            r.seek(r.at + 6 * n_model + 2 * n_blocks + n_code)
+    return out
+
+
 def sizes_of(raw: bytes) -> list[tuple[str, int | None, int | None, int]]:
     """(part, channel, precinct, bytes) of everything in a container; the bytes add up to its length."""
     side, _, _, r = read_header(raw)
@@ -305,9 +319,12 @@ def wavelet_only(planes: DataFrame, family: str = "cdf97") -> DataFrame:
 POINT_GROUPS = 8
 
 
-def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params(), groups: int = POINT_GROUPS) -> DataFrame:
+def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params(), groups: int = POINT_GROUPS, on_init=None, on_complete=None) -> DataFrame:
     """Code every image at every point (iter, quality, attenuation): statistics, one row each, or the error.
 
+    ``on_init`` (parameters, iter) gives the parameters that are used instead;
+    ``on_complete`` (statistics, iter) those that are returned. Both run in the tasks.
+
     The points are a bounded table, which is sent to all tasks; an image is sent
     to ``groups`` of them, each of which codes it at its share of the points.
     """
@@ -322,8 +339,10 @@ def sweep(image_rows: DataFrame, points: DataFrame, base: Params = Params(), gro
                 for k, q, a in table[group::groups]:
                     try:
                         rgb = _cube(pixels, side)
-                        raw = encode_image(rgb, replace(base, quality=q, attenuation=a))
+                        params = replace(base, quality=q, attenuation=a)
+                        raw = encode_image(rgb, on_init(params, k) if on_init else params)
                         s = stats(decode_image(raw), rgb, len(raw))
+                        s = on_complete(s, k) if on_complete else s
                         out.append((i, k, q, a, *(s[n] for n in names), None))
                     except ValueError as e:
                         out.append((i, k, q, a, *[None] * len(names), str(e)))

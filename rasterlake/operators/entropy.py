@@ -82,17 +82,22 @@ def build_model(symbols: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(values.tolist(), p.tolist(), np.cumsum(p).tolist(), strict=True))
 
 
-def arith_encode(symbols: np.ndarray, table: list[tuple[int, int, int]]) -> bytes:
-    """u32 length, then the code's bits, highest first, closed by a set bit. One symbol only: length and 0x80."""
+def arith_encode(symbols: np.ndarray, table: list[tuple[int, int, int]], window: tuple[int, int] | None = None, seen: list | None = None) -> bytes:
+    """u32 length, then the code's bits, highest first, closed by a set bit. One symbol only: length and 0x80.
+
+    For debugging, ``seen`` gets (index, symbol, low, high) of the symbols whose index lies in ``window``, ends included.
+    """
     head = struct.pack("<I", len(symbols))
     if len(table) == 1:
         return head + b"\x80"
     spans = {s: (c - p, c) for s, p, c in table}
     low, high, pending, bits = 0, TOP, 0, []
-    for s in np.asarray(symbols).tolist():
+    for index, s in enumerate(np.asarray(symbols).tolist()):
         a, b = spans[s]
         width = high - low
         low, high = low + (width * a >> 16), low + (width * b >> 16) - 1
+        if window and window[0] <= index <= window[1]:
+            seen.append((index, s, low, high))
         while True:
             if high < HALF or low >= HALF:
                 bit = int(low >= HALF)

@@ -47,6 +47,15 @@ def populate(images: DataFrame, side: int, value) -> DataFrame:
     return grid.withColumn("v", value(F.col("image_id"), F.col("x"), F.col("y"), F.col("c")))
 
 
+def resize(tall: DataFrame, side: int) -> DataFrame:
+    """Square images of another side: an image that has it already stays as it is, any other becomes zeros."""
+    shape = tall.groupBy("image_id", "c").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    other = shape.filter((F.col("w") != side) | (F.col("h") != side)).select("image_id", "c")
+    axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    made = other.select("image_id", axis().alias("y"), "c").select("image_id", "y", axis().alias("x"), "c", F.lit(0.0).alias("v"))
+    return tall.join(other, ["image_id", "c"], "left_anti").select(*KEY, "c", "v").unionByName(made)
+
+
 def _dot(weights, names) -> Column:
     return reduce(Column.__add__, (F.col(n) * w for w, n in zip(weights, names, strict=True)))
 

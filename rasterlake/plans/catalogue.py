@@ -53,7 +53,7 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 @query
 def pixels_tall(spark, d):
-    return rasters.events_tall(spark, d).drop("cents")
+    return rasters.events_tall(spark, d, whole=False).drop("cents")
 
 
 @query
@@ -63,7 +63,7 @@ def planes_roundtrip(spark, d):
 
 @query
 def extract_channel(spark, d):
-    return pixels.extract_channel(rasters.events_tall(spark, d), 1)
+    return pixels.extract_channel(rasters.events_tall(spark, d, whole=False), 1)
 
 
 @query
@@ -100,7 +100,55 @@ def yuv_roundtrip_error(spark, d):
 
 @query
 def apply_gamma(spark, d):
-    return _rounded(pixels.apply_gamma(rasters.events_tall(spark, d).drop("cents"), GAMMA), "v")
+    return _rounded(pixels.apply_gamma(rasters.events_tall(spark, d, whole=False).drop("cents"), GAMMA), "v")
+
+
+@query
+def resized(spark, d):
+    """Every second image as another side would leave it."""
+    tall = rasters.events_tall(spark, d).drop("cents")
+    return pixels.resize(tall.filter("image_id % 2 = 0"), 16).unionByName(pixels.resize(tall.filter("image_id % 2 = 1"), 4))
+
+
+@query
+def shape_guard(spark, d):
+    """Of all sides to 70 and two off-square shapes: which may be coded; bits set in the width."""
+    shapes = spark.range(1, 71).select(F.col("id").alias("width"), F.col("id").alias("height")).unionByName(spark.range(1).select(F.lit(16).cast("bigint").alias("width"), F.lit(8).cast("bigint").alias("height")))
+    fine = (F.col("width") == F.col("height")) & (F.bit_count("width") == 1)
+    kept = pixels.check_shape(shapes.filter(fine)).select("width", "height", F.lit(True).alias("kept"))
+    return shapes.join(kept, ["width", "height"], "left").select("width", "height", F.bit_count("width").alias("bits"), F.coalesce("kept", F.lit(False)).alias("fits"))
+
+
+@query
+def pass_counts(spark, d):
+    """The least side of each family, and its passes on powers of two."""
+    rows = [(f, wavelets.min_size(f), 2**k, wavelets.n_passes(2**k), wavelets.n_primary_passes(2**k, f)) for f in wavelets.BANKS for k in range(3, 13)]
+    return spark.createDataFrame(rows, "family string, min_size bigint, side bigint, passes bigint, primary_passes bigint")
+
+
+@query
+def clean_params(spark, d):
+    """Parameters brought into their ranges."""
+    rows = []
+    for k in range(-3, 4):
+        p = Params(quality=k / 2, image_gamma=10.0 ** (2 * k), threshold=k / 4, threshold_attenuation=k / 2, min_compressed_precinct=k).clean()
+        rows.append((k, p.quality, p.image_gamma, p.threshold, p.threshold_attenuation, p.min_compressed_precinct))
+    return _rounded(spark.createDataFrame(rows, "k bigint, quality double, image_gamma double, threshold double, threshold_attenuation double, min_compressed_precinct bigint"), "image_gamma", digits=9)
+
+
+@query
+def raw_precincts(spark, d):
+    """What a container holds uncoded: the last average and the precincts below the first coded one, in order, as halves."""
+
+    def run(batches):
+        for batch in batches:
+            for image, raw in zip(batch.column("image_id").to_pylist(), batch.column("container").to_pylist(), strict=True):
+                for c, values in enumerate(codec.raw_values(raw)):
+                    n = len(values)
+                    yield pa.RecordBatch.from_arrays([pa.array([image] * n, pa.int64()), pa.array([c] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(values.astype(float))], names=["image_id", "c", "i", "v"])
+
+    coded = codec.encode(_images(spark, d), Params(quality=1.0)).select("image_id", "container")
+    return _rounded(coded.mapInArrow(run, "image_id bigint, c int, i int, v double"), "v")
 
 
 @query
@@ -522,14 +570,21 @@ def coding_efficiency(spark, d):
 # -- metrics
 
 
-def _pairs(spark, d):
-    r = rasters.events_tall(spark, d)
+def _pairs(spark, d, whole=True):
+    r = rasters.events_tall(spark, d, whole)
     return r.select("image_id", "y", "x", "c", (F.floor(F.col("v") / 10) * 10).cast("double").alias("a"), F.col("v").alias("r"))
 
 
 @query
 def mse(spark, d):
-    return _rounded(metrics.mse(_pairs(spark, d)), "mse", digits=4)
+    return _rounded(metrics.mse(_pairs(spark, d, whole=False)), "mse", digits=4)
+
+
+@query
+def finite_mse(spark, d):
+    """Cells that are not finite on either side count as equal."""
+    odd = F.when(F.col("x") == 3, float("nan")).when(F.col("y") == 5, float("inf")).otherwise(F.col("a"))
+    return _rounded(metrics.mse(_pairs(spark, d).withColumn("a", odd)), "mse", digits=4)
 
 
 @query

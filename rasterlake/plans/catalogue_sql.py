@@ -10,6 +10,7 @@ ev as (
     value as v, cast(round(value * 100) as bigint) as cents
   from events where event_id // 768 < (select (max(event_id) + 1) // 768 from events)
 )"""
+_ALL = _EV.replace(" where event_id // 768 < (select (max(event_id) + 1) // 768 from events)", "")
 _PX = """
 px as (
   select image_id, y, x, max(case when c = 0 then v end) as v0, max(case when c = 1 then v end) as v1, max(case when c = 2 then v end) as v2
@@ -128,14 +129,17 @@ def _half(x: str) -> str:
     return f"(case when abs({v}) < 1e-12 then 0.0 else round_even({v} / {unit}, 0) * {unit} end)"
 
 
+_TO_YUV = """g as (select image_id, c, y, x, sign(v) * pow(abs(v), 1 / 2.2::double) as v from ev),
+gp as (select image_id, y, x, max(case when c = 0 then v end) as v0, max(case when c = 1 then v end) as v1, max(case when c = 2 then v end) as v2 from g group by all),
+gy as (select image_id, y, x, v0 * 0.299::double + v1 * 0.587::double + v2 * 0.114::double as v0, v0 * -0.14713::double + v1 * -0.28886::double + v2 * 0.436::double as v1,
+  v0 * 0.615::double + v1 * -0.51499::double + v2 * -0.10001::double as v2 from gp),
+e2 as materialized (select image_id, 0 as c, y, x, v0 as v from gy union all select image_id, 1, y, x, v1 from gy union all select image_id, 2, y, x, v2 from gy)"""
+
+
 def _decoded() -> str:
     """What a container of quality 1 gives back: passes forward, the finest details quantised, the others halves, passes back."""
     out = [
-        "g as (select image_id, c, y, x, sign(v) * pow(abs(v), 1 / 2.2::double) as v from ev)",
-        "gp as (select image_id, y, x, max(case when c = 0 then v end) as v0, max(case when c = 1 then v end) as v1, max(case when c = 2 then v end) as v2 from g group by all)",
-        """gy as (select image_id, y, x, v0 * 0.299::double + v1 * 0.587::double + v2 * 0.114::double as v0, v0 * -0.14713::double + v1 * -0.28886::double + v2 * 0.436::double as v1,
-  v0 * 0.615::double + v1 * -0.51499::double + v2 * -0.10001::double as v2 from gp)""",
-        "e2 as materialized (select image_id, 0 as c, y, x, v0 as v from gy union all select image_id, 1, y, x, v1 from gy union all select image_id, 2, y, x, v2 from gy)",
+        _TO_YUV,
         _normalised("e2"),
         """q0 as (select image_id, c, y, x, norm, v / norm as v, case when c = 0 then 1024.0::double else 256.0::double end as rate from l0 join n0 using (image_id, c)),
 q1 as (select *, 0.5 / rate as t, trunc(greatest(0, abs(v) - 0.5 / rate) / (1 - 0.5 / rate) * rate) as q from q0),
@@ -295,15 +299,15 @@ _PATH = "pp as (select page_id, regexp_extract(url, '^[^?#]*') as p from pages)"
 _P, _T = "(value - 100)", "((event_id % 101) / 100.0::double)"
 
 ORACLE_SQL = {
-    "pixels_tall": f"with {_EV} select image_id, y, x, c, v from ev",
+    "pixels_tall": f"with {_ALL} select image_id, y, x, c, v from ev",
     "planes_roundtrip": f"with {_EV} select image_id, y, x, c, v from ev",
-    "extract_channel": f"with {_EV} select image_id, y, x, v from ev where c = 1",
+    "extract_channel": f"with {_ALL} select image_id, y, x, v from ev where c = 1",
     "emplace_channel": f"with {_EV} select image_id, y, x, c, case when c = 0 then 2 * (select v from ev o where o.image_id = ev.image_id and o.y = ev.y and o.x = ev.x and o.c = 1) else v end as v from ev",
     "luminance": f"with {_EV}, {_PX} select image_id, y, x, round(v0 * 0.17691::double + v1 * 0.8124::double + v2 * 0.01063::double, 9) as v from px",
     "rgb_to_yuv": f"with {_EV}, {_PX}, {_YUV} select image_id, y, x, round(v0, 9) as v0, round(v1, 9) as v1, round(v2, 9) as v2 from yuv",
     "yuv_to_rgb": f"with {_EV}, {_PX} select image_id, y, x, round(r, 9) as v0, round(g, 9) as v1, round(b, 9) as v2 from ({_RGB.format('px')})",
     "yuv_roundtrip_error": f"with {_EV}, {_PX}, {_YUV}, bk as ({_RGB.format('yuv')}) select image_id, round(max(greatest(abs(v0 - r), abs(v1 - g), abs(v2 - b))), 6) as max_error from px join bk using (image_id, y, x) group by image_id",
-    "apply_gamma": f"with {_EV} select image_id, y, x, c, round(pow(v, 1 / 2.2::double), 6) as v from ev",
+    "apply_gamma": f"with {_ALL} select image_id, y, x, c, round(pow(v, 1 / 2.2::double), 6) as v from ev",
     "populate_erase": f"with {_EV} select image_id, y, x, c, cast(image_id + 10 * x + 100 * y + 1000 * c as double) as v, 0.0::double as erased from (select distinct image_id from ev), range(0, 8) a(y), range(0, 8) b(x), range(0, 3) d(c)",
     "bilinear_sample": f"""with {_EV}, {_PTS}, q as (
   select *, least(floor(u * 15), 14) as ix, least(floor(w * 15), 14) as iy from pts
@@ -359,8 +363,20 @@ select image_id, precinct, case when precinct = 0 then 0 when y < half then 0 wh
     "rle_ratio": f"with {_RLE}, {_rle_blocks('2')}, s as (select stream, cast(sum(len) as bigint) as n_input, cast(sum(case when is_const then 0 else len end) as bigint) as n_literals, count(*) as n_blocks from tb group by stream) select *, round((n_literals + n_blocks) / n_input, 6) as ratio from s",
     "rle_block_size_sweep": f"with {_RLE}, rs as (select ru.*, size from ru, (select unnest([2, 3, 4, 8]) as size)), {_rle_blocks('size', 'rs', ', size')} select size, cast(sum(case when is_const then 0 else len end) as bigint) as n_literals, count(*) as n_blocks, cast(sum(len) as bigint) as n_input from tb group by size",
     "arith_roundtrip": f"with {_STREAMS}, k as (select stream, count(*) as n, count(distinct symbol) as n_symbols from st group by stream) select stream, n, n_symbols, pos, symbol from st join k using (stream)",
+    "finite_mse": f"with {_PAIR} select image_id, round(sum(case when x = 3 or y = 5 then 0 else (a - r) * (a - r) end) / count(*), 4) as mse from pr group by image_id",
+    "resized": f"with {_EV} select image_id, y, x, c, v from ev where image_id % 2 = 0 union all select image_id, y, x, c, 0.0::double from (select distinct image_id, c from ev where image_id % 2 = 1), range(0, 4) a(y), range(0, 4) b(x)",
+    "shape_guard": "select w as width, h as height, bit_count(w)::bigint as bits, w = h and bit_count(w) = 1 as fits from (select i as w, i as h from range(1, 71) r(i) union all select 16, 8)",
+    "pass_counts": """with f as (select * from (values ('haar', 0, 1), ('d4', -1, 2), ('cdf53', -2, 3), ('cdf97', -4, 5)) t(family, first, last)), m as (
+  select family, 2 * greatest(1 - cast(trunc(-last / 2) as bigint), 1 - cast(trunc(-(first - 1) / 2) as bigint)) as min_size from f
+) select family, min_size, 1 << k as side, cast(floor(log2((1 << k) // 2)) as bigint) + 1 as passes, cast(floor(log2((1 << k) // min_size)) as bigint) + 1 as primary_passes from m, range(3, 13) r(k)""",
+    "clean_params": "select k, least(greatest(k / 2, 0), 1)::double as quality, round(least(greatest(pow(10.0::double, 2 * k), 1e-3), 100), 9) as image_gamma, greatest(k / 4, 0)::double as threshold, least(greatest(k / 2, 1e-3), 1)::double as threshold_attenuation, greatest(k, 1)::bigint as min_compressed_precinct from range(-3, 4) r(k)",
+    "raw_precincts": f"""with {_EV}, {_MATRICES}, {_TO_YUV}, {_normalised('e2')}, k as (
+  select image_id, c, y, x, v, 0 as p from a4 union all select image_id, c, y, x, v / norm, 1 from l3 join n3 using (image_id, c)
+  union all select image_id, c, y, x, v / norm, 2 from l2 join n2 using (image_id, c) union all select image_id, c, y, x, v / norm, 3 from l1 join n1 using (image_id, c)
+), h as (select *, case when p = 0 then 1 else 1 << (p - 1) end as half from k
+) select image_id, c, row_number() over (partition by image_id, c order by p, case when p = 0 then 0 when y < half then 0 when x < half then 1 else 2 end, y, x) - 1 as i, round({_half('v')}, 6) as v from h""",
     "pair_mse": f"with {_PAIR} select image_id, round(avg((a - r) * (a - r)), 4) as mse from pr group by image_id",
-    "mse": f"with {_PAIR} select image_id, round(avg((a - r) * (a - r)), 4) as mse from pr group by image_id",
+    "mse": f"with {_PAIR.replace(_EV, _ALL)} select image_id, round(avg((a - r) * (a - r)), 4) as mse from pr group by image_id",
     "psnr": f"with {_PAIR}, q as (select image_id, c, 20 * log10(max(r)) - 10 * log10(avg((a - r) * (a - r))) as l from pr group by image_id, c) select image_id, round(sum(l), 5) as psnr_sum, round(avg(l), 5) as psnr from q group by image_id",
     "ssim": _ssim(16),
     "ssim_compat": _ssim(4),

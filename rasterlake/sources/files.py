@@ -16,6 +16,23 @@ def list_directory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return binary_files(spark, path, glob).select("path", "length")
 
 
+def _status(spark: SparkSession, path: str):
+    """Hadoop's status of a path, or None where there is nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(path) if system.exists(path) else None
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    found = _status(spark, path)
+    return found is not None and found.isFile()
+
+
+def directory_exists(spark: SparkSession, path: str) -> bool:
+    found = _status(spark, path)
+    return found is not None and found.isDirectory()
+
+
 def write_containers(containers: DataFrame, path: str) -> None:
     containers.write.mode("overwrite").parquet(path)
 

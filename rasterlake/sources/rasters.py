@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 SIDE, CHANNELS = 16, 3
 
 
-def events_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events.value`` as complete 16 x 16 images of 3 channels: (image_id, y, x, c, v, cents).
+def events_tall(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """``events.value`` as 16 x 16 images of 3 channels: (image_id, y, x, c, v, cents).
 
-    Events are dense in event_id; the last, incomplete image is left out. Images
-    are found per row, so nothing is shuffled but the one count.
+    Events are dense in event_id; ``whole``: the last, incomplete image is left
+    out. Images are found per row, so nothing is shuffled but the one count.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
     size = SIDE * SIDE * CHANNELS
-    last = events.agg(((F.max("event_id") + 1) / size).cast("bigint").alias("complete"))
+    complete = events.agg(((F.max("event_id") + 1) / size).cast("bigint").alias("complete"))
     at, cell = F.col("event_id") % size, (F.col("event_id") % size / CHANNELS).cast("int")
     tall = events.select(
         (F.col("event_id") / size).cast("bigint").alias("image_id"), (cell / SIDE).cast("int").alias("y"), (cell % SIDE).alias("x"),
         (at % CHANNELS).cast("int").alias("c"), F.col("value").alias("v"), F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
-    return tall.join(F.broadcast(last), F.col("image_id") < F.col("complete")).drop("complete")
+    return tall.filter(F.col("image_id") < (complete.first()[0] or 0)) if whole else tall
 
 
 def to_planes(tall: DataFrame, side: int = SIDE, value: str = "v") -> DataFrame:

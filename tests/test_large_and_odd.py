@@ -1,6 +1,7 @@
 """Rasters of real sizes, and what the catalogue's small inputs don't show."""
 
 import threading
+from dataclasses import replace
 
 import numpy as np
 import psutil
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterlake.functions import scalar
-from rasterlake.operators import codec, metrics, pixels, rle, wavelets
+from rasterlake.operators import codec, entropy, metrics, pixels, rle, wavelets
 from rasterlake.operators.quantise import Params
 from rasterlake.plans import sweeps
+from rasterlake.sources import files
 
 
 class Workers:
@@ -144,3 +146,27 @@ def test_similarity_by_boxes_is_that_by_patches(spark):
     a = {r.image_id: r.ssim for r in metrics.ssim_tall(pairs, 4, 8, 8).collect()}
     b = {r.image_id: r.ssim for r in metrics.ssim_images(metrics.plane_pairs(pairs, 8), 4).collect()}
     assert a == pytest.approx(b)
+
+
+def test_hooks_of_a_sweep(spark):
+    images = spark.createDataFrame([(1, 8, np.linspace(1, 50, 192).tolist())], "image_id bigint, side int, pixels array<double>")
+    points = sweeps.line(spark, 3)
+    plain = {r.iter: r.compressed_size for r in codec.sweep(images, points).collect()}
+    best = codec.sweep(images, points, on_init=lambda p, k: replace(p, quality=1.0, attenuation=4.0), on_complete=lambda s, k: s | {"score": float(k)}).collect()
+    assert {r.score for r in best} == {0.0, 1.0, 2.0} and len({r.compressed_size for r in best}) == 1
+    assert all(r.compressed_size >= plain[r.iter] for r in best)
+
+
+def test_the_coder_s_debug_window():
+    x = np.array([1, 2, 1, 1, 3, 2] * 5)
+    model, seen = entropy.build_model(x), []
+    raw = entropy.arith_encode(x, model, (4, 9), seen)
+    assert raw == entropy.arith_encode(x, model) and (entropy.arith_decode(raw, model) == x).all()
+    assert [(i, s) for i, s, _, _ in seen] == [(i, x[i]) for i in range(4, 10)] and all(low <= high for *_, low, high in seen)
+
+
+def test_files_and_folders_exist_or_not(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x")
+    there, folder, gone = str(tmp_path / "a.bin"), str(tmp_path), str(tmp_path / "b")
+    assert [files.file_exists(spark, p) for p in (there, folder, gone)] == [True, False, False]
+    assert [files.directory_exists(spark, p) for p in (there, folder, gone)] == [False, True, False]
