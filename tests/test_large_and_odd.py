@@ -151,10 +151,10 @@ def test_similarity_by_boxes_is_that_by_patches(spark):
 def test_hooks_of_a_sweep(spark):
     images = spark.createDataFrame([(1, 8, np.linspace(1, 50, 192).tolist())], "image_id bigint, side int, pixels array<double>")
     points = sweeps.line(spark, 3)
-    plain = {r.iter: r.compressed_size for r in codec.sweep(images, points).collect()}
+    plain = {r.compressed_size for r in codec.sweep(images, points).collect()}
     best = codec.sweep(images, points, on_init=lambda p, k: replace(p, quality=1.0, attenuation=4.0), on_complete=lambda s, k: s | {"score": float(k)}).collect()
-    assert {r.score for r in best} == {0.0, 1.0, 2.0} and len({r.compressed_size for r in best}) == 1
-    assert all(r.compressed_size >= plain[r.iter] for r in best)
+    assert {r.score for r in best} == {0.0, 1.0, 2.0}
+    assert len({r.compressed_size for r in best}) == 1 < len(plain)
 
 
 def test_the_coder_s_debug_window():
