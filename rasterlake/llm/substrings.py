@@ -38,7 +38,7 @@ CHUNK_GRAMS = 1_000_000
 #: Bytes of text for each counted gram, to size the blocks by.
 BYTES_PER_GRAM = 30
 #: A gram counted so often has its windows dealt by their own hashes.
-HOT_GRAM = 20_000
+HOT_GRAM = 5_000
 FLUSH_WINDOWS = 2_000_000
 GROUP_BYTES = 16_000_000
 NO_ID = -(1 << 63)
@@ -239,12 +239,11 @@ def marks(docs: DataFrame, blocks: int, bits: int) -> DataFrame:
     return per_doc.groupBy("d", "th").agg(F.max("marks").alias("marks"))
 
 
-_FOUND = "part bigint, d bigint, th bigint, payload binary"
-_FOUND_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+_FOUND = "part bigint, payload binary"
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_FOUND_TYPES)], names=["part", "d", "th", "payload"])
+def _found(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "payload"])
 
 
 def _later(order: np.ndarray, keys: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
@@ -260,42 +259,47 @@ def _later(order: np.ndarray, keys: list[np.ndarray], place: list[np.ndarray]) -
     return same & moved
 
 
-def _by_document(d: np.ndarray, th: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """(None, d, th, starts) for each document."""
+def _by_target(d: np.ndarray, th: np.ndarray, pos: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(-1 - target, starts of its documents): a document's starts all go to one target."""
     if not len(d):
         return []
-    order = np.lexsort((pos, th, d))
-    d, th, pos = d[order], th[order], pos[order]
-    cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(th) != 0)) + 1
-    return [(None, int(d[a]), int(th[a]), p.astype("<u4").tobytes()) for a, p in zip(np.concatenate([[0], cuts]), np.split(pos, cuts), strict=True)]
+    target = (mix64(d.astype(np.uint64) * _A + th.astype(np.uint64)) % _U(parts)).astype(np.int64)
+    order = np.lexsort((pos, th, d, target))
+    d, th, pos, target = d[order], th[order], pos[order], target[order]
+    cuts = np.flatnonzero(np.diff(target)) + 1
+    return [(-1 - int(target[some[0]]), pack(*_runs(d[some], th[some]), pos[some].astype("<u4"))) for some in np.split(np.arange(len(d)), cuts)]
+
+
+def _runs(d: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents of sorted entries, and how many entries each has."""
+    heads = np.concatenate([[0], np.flatnonzero((np.diff(d) != 0) | (np.diff(th) != 0)) + 1])
+    return d[heads].astype("<i8"), th[heads].astype("<i8"), np.diff(np.append(heads, len(d))).astype("<u4")
 
 
 def repeated_starts(marked: DataFrame, parts: int) -> DataFrame:
-    """(part, d, th, payload) of ``marked`` (d, th, doc_id, text, marks): windows still to be grouped; with a negative part, starts known to repeat earlier ones.
+    """(part, payload) of ``marked`` (d, th, doc_id, text, marks): windows still to be grouped; with a negative part, starts known to repeat earlier ones.
 
     A task compares its own windows first: of equal ones only the earliest goes
     on, so a window found everywhere is one entry per flush.
     """
 
     def run(batches):
-        hashes, held, size, done = WordHashes(), [], 0, -1 - (TaskContext.get().partitionId() << 24)
+        hashes, held, size = WordHashes(), [], 0
 
         def flush():
             part, h1, h2, d, th, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((pos, th, d, h2, h1))
             later = _later(order, [h1, h2], [d, th, pos])
             gone = order[later]
-            rows = [(done, *r[1:]) for r in _by_document(d[gone], th[gone], pos[gone])]
+            rows = _by_target(d[gone], th[gone], pos[gone], parts)
             keep = order[~later]
             keep = keep[np.lexsort((pos[keep], th[keep], d[keep], part[keep]))]
             cuts = np.flatnonzero(np.diff(part[keep])) + 1
             for some in np.split(keep, cuts) if len(keep) else []:
-                docs_at = np.concatenate([[0], np.flatnonzero((np.diff(d[some]) != 0) | (np.diff(th[some]) != 0)) + 1])
-                n_each = np.diff(np.append(docs_at, len(some)))
-                payload = pack(d[some][docs_at].astype("<i8"), th[some][docs_at].astype("<i8"), n_each.astype("<u4"), h1[some].astype("<u8"), h2[some].astype("<u4"), pos[some].astype("<u4"))
-                rows.append((int(part[some[0]]), None, None, payload))
-            for at in range(0, len(rows), 5000):
-                yield _found(rows[at : at + 5000])
+                payload = pack(*_runs(d[some], th[some]), h1[some].astype("<u8"), h2[some].astype("<u4"), pos[some].astype("<u4"))
+                rows.append((int(part[some[0]]), payload))
+            for at in range(0, len(rows), 1000):
+                yield _found(rows[at : at + 1000])
 
         for some in slices(batches):
             b = Batch(hashes, some.column("text").to_pylist())
@@ -316,14 +320,15 @@ def repeated_starts(marked: DataFrame, parts: int) -> DataFrame:
             size += len(j)
             if size >= FLUSH_WINDOWS:
                 yield from flush()
-                held, size, done = [], 0, done - 1
+                held, size = [], 0
         if size:
             yield from flush()
 
     return marked.select("d", "th", "doc_id", "text", "marks").mapInArrow(run, _FOUND)
 
 
-def _grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Which windows of a part repeat an earlier one, by target; what has a target already goes through."""
     columns = [[], [], [], [], []]
     for batch in batches:
         if key[0].as_py() < 0:
@@ -338,23 +343,35 @@ def _grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> I
     d, th, h1, h2, pos = (np.concatenate(c) for c in columns)
     order = np.lexsort((pos, th, d, h2, h1))
     gone = order[_later(order, [h1, h2], [d, th, pos])]
-    rows = _by_document(d[gone], th[gone], pos[gone])
-    for at in range(0, len(rows), 5000):
-        yield _found(rows[at : at + 5000])
+    yield _found(_by_target(d[gone], th[gone], pos[gone], parts))
 
 
-def covered(n_words: int, starts: list[bytes]) -> np.ndarray:
+def _gathered(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, th, starts) of a target's documents."""
+    columns = [[], [], []]
+    for batch in batches:
+        for raw in batch.column("payload").to_pylist():
+            d, th, each, pos = unpack(raw, "<i8", "<i8", "<u4", "<u4")
+            for c, v in zip(columns, (np.repeat(d, each), np.repeat(th, each), pos), strict=True):
+                c.append(v)
+    d, th, pos = (np.concatenate(c) for c in columns)
+    order = np.lexsort((pos, th, d))
+    d, th, each = _runs(d[order], th[order])
+    starts = [p.tobytes() for p in np.split(pos[order].astype("<u4"), np.cumsum(each)[:-1])]
+    for at in range(0, len(d), 2000):
+        yield pa.RecordBatch.from_arrays([pa.array(d[at : at + 2000]), pa.array(th[at : at + 2000]), pa.array(starts[at : at + 2000], pa.binary())], names=["d", "th", "starts"])
+
+
+def covered(n_words: int, starts: bytes) -> np.ndarray:
     """Which words lie in a window with one of the starts."""
-    edges = np.zeros(n_words + 1, np.int64)
-    for raw in starts:
-        s = np.unique(np.frombuffer(raw, "<u4").astype(np.int64))
-        edges[s] += 1
-        edges[s + WINDOW] -= 1
+    edges, s = np.zeros(n_words + 1, np.int64), np.unique(np.frombuffer(starts, "<u4").astype(np.int64))
+    edges[s] += 1
+    edges[s + WINDOW] -= 1
     return np.cumsum(edges)[:n_words] > 0
 
 
 def _removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) with ``starts``: lists of window starts to remove (null: none)."""
+    """Rows of ``docs`` (doc_id, text) with ``starts``: the window starts to remove (null: none)."""
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), "doc_id", "text")
     n_bytes = keyed.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
@@ -365,8 +382,12 @@ def _removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = max(least, n_bytes // GROUP_BYTES)
     marked = scratch.save(marks(keyed, blocks, bits), "marks").select(F.col("d").alias("_d"), F.col("th").alias("_t"), "marks")
     asked = keyed.join(marked.hint("merge"), (keyed["d"] == F.col("_d")) & (keyed["th"] == F.col("_t")))
-    grouped = repeated_starts(asked, parts).groupBy("part").applyInArrow(_grouped, _FOUND)
-    starts = grouped.groupBy("d", "th").agg(F.collect_list("payload").alias("starts"))
+
+    def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _grouped(key, batches, parts)
+
+    grouped = repeated_starts(asked, parts).groupBy("part").applyInArrow(group, _FOUND)
+    starts = grouped.groupBy("part").applyInArrow(_gathered, "d bigint, th bigint, starts binary")
     starts = starts.select(F.col("d").alias("_d"), F.col("th").alias("_t"), "starts")
     # Both joins hash the same columns of the same rows, so Spark shuffles the texts once for both.
     return keyed.join(starts.hint("merge"), (keyed["d"] == F.col("_d")) & (keyed["th"] == F.col("_t")), "left").drop("d", "th", "_d", "_t")
@@ -392,7 +413,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             out = [[], [], []]
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = blank_words(text)
-                gone = covered(len(words), starts or [])
+                gone = covered(len(words), starts or b"")
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if starts else words
                 for col, v in zip(out, (len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                     col.append(v)

@@ -125,7 +125,7 @@ def repeating(seed=6):
     return rows + [(60, "the " * 30), (61, "The the " * 40), (62, "a b c d e f g " * 12), (63, None), (64, ""), (65, rows[3][1]), (3, rows[3][1]), (None, rows[7][1]), (66, "w " * 30_000)]
 
 
-@pytest.mark.parametrize(("chunk", "block", "hot"), [(1_000_000, 1_000_000, 20_000), (40, 3, 20_000), (25, 7, 2), (1, 1, 1)])
+@pytest.mark.parametrize(("chunk", "block", "hot"), [(1_000_000, 1_000_000, 5_000), (40, 3, 5_000), (25, 7, 2), (1, 1, 1)])
 def test_repeats(make, monkeypatch, chunk, block, hot):
     """Also with many small blocks and chunks, and with every repeated gram hot."""
     monkeypatch.setattr(substrings, "CHUNK_GRAMS", chunk)
