@@ -49,7 +49,7 @@ def test_runs_answer_lookups(spark, make):
     assert sorted(r.group_size for r in index.compact().collect()) == [1, 2]
 
 
-@pytest.mark.parametrize(("memtables", "fan_in", "bits"), [(8, 4, 8), (5, 2, 8), (27, 3, 1), (1, 4, 8)])
+@pytest.mark.parametrize(("memtables", "fan_in", "bits"), [(8, 4, 8), (9, 3, 1), (1, 4, 8)])
 def test_compaction_of_many_runs(spark, make, monkeypatch, memtables, fan_in, bits):
     """Sizes and best rows of all digests, through several levels, with filters that err often as well."""
     monkeypatch.setattr(exactdedup, "FILTER_BITS", bits)

@@ -65,7 +65,7 @@ def test_quality_edges(spark, make):
 
 def brute_posteriors(rows, p):
     """Host and path posteriors of each row in plain Python, the row itself left out."""
-    p = [round(v, 6) for v in p]
+    exact, p = p, [round(v, 6) for v in p]
     hosts, paths = {}, {}
     for (_, _, lang, source), v in zip(rows, p, strict=True):
         hosts.setdefault(source, []).append(v)
@@ -85,11 +85,11 @@ def brute_posteriors(rows, p):
     rate = {h: (sum(s) + host_k * base) / (len(s) + host_k) for h, s in hosts.items()}
     path_k = strength(list(paths.values()), [rate[h] for h, _ in paths])
     out = []
-    for (i, _, lang, source), v in zip(rows, p, strict=True):
+    for (i, _, lang, source), v, own in zip(rows, p, exact, strict=True):
         h, s = hosts[source], paths[(source, lang)]
         host = (sum(h) - v + host_k * base) / (len(h) - 1 + host_k)
         path = (sum(s) - v + path_k * host) / (len(s) - 1 + path_k)
-        odds = [math.log(x / (1 - x)) for x in (v, path, base)]
+        odds = [math.log(x / (1 - x)) for x in (min(max(x, 1e-6), 1 - 1e-6) for x in (own, path, base))]
         out.append((i, host, path, 1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2])))))
     return out
 
