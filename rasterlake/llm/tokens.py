@@ -34,7 +34,7 @@ MAGIC = b"RLDC"
 BLOCK = 512
 CHUNK_BITS = 8
 SEGMENT_TOKENS = 2_000_000
-CACHED_UNITS = 400_000
+CACHED_UNITS = 700_000
 #: Bytes of text for a task, at most about.
 TASK_BYTES = 64 << 20
 END_ID = 0
