@@ -106,8 +106,8 @@ def ssim_images(planes: DataFrame, patch: int, scales: bool = False) -> DataFram
     return planes.select("image_id", "side", "a", "r").mapInArrow(run, "image_id bigint, ssim double")
 
 
-def stats(a: np.ndarray, r: np.ndarray, coded_bytes: int) -> dict:
-    """The figures of one coding of the image r (3, h, w) whose decoding is a."""
+def fidelity(a: np.ndarray, r: np.ndarray) -> dict:
+    """The figures of the image r (3, h, w) and its decoding a that do not depend on the code's size."""
     area = r.shape[1] * r.shape[2]
     both = np.isfinite(a) & np.isfinite(r)
     d2 = np.where(both, (np.where(both, a, 0) - np.where(both, r, 0)) ** 2, 0)
@@ -116,14 +116,24 @@ def stats(a: np.ndarray, r: np.ndarray, coded_bytes: int) -> dict:
     with np.errstate(divide="ignore"):
         level = 20 * np.log10(peak) - 10 * np.log10(per)
     luma = np.array([0.17691, 0.8124, 0.01063])
-    original, bpp = r.size * 4, 8 * coded_bytes / area
     s = float(ssim_planes(np.tensordot(luma, a, 1)[None], np.tensordot(luma, r, 1)[None], 16, 4)[0])
+    return {"mse": float(d2.sum() / r.size), "psnr": float(level.mean()), "psnr_sum": float(level.sum()), "ssim": s}
+
+
+def size_stats(r: np.ndarray, coded_bytes: int, found: dict) -> dict:
+    """All figures of one coding of the image r, from its size and its fidelity."""
+    original, bpp = r.size * 4, 8 * coded_bytes / (r.shape[1] * r.shape[2])
     return {
         "original_size": original, "compressed_size": coded_bytes, "efficiency": 1 - coded_bytes / original, "bits_per_pixel": bpp,
-        "mse": float(d2.sum() / r.size), "psnr": float(level.mean()), "psnr_sum": float(level.sum()), "ssim": s, "score": s + 1 / (1 + bpp),
+        **found, "score": found["ssim"] + 1 / (1 + bpp),
     }
 
 
+def stats(a: np.ndarray, r: np.ndarray, coded_bytes: int) -> dict:
+    """The figures of one coding of the image r (3, h, w) whose decoding is a."""
+    return size_stats(r, coded_bytes, fidelity(a, r))
+
+
 STATS = "original_size bigint, compressed_size bigint, efficiency double, bits_per_pixel double, mse double, psnr double, psnr_sum double, ssim double, score double"
 
 
