@@ -106,3 +106,31 @@ def test_coder_bytes_by_single_bits():
         bits += entropy._closing(low, high, pending)
         raw = entropy.arith_encode(x, model)
         assert raw == len(x).to_bytes(4, "little") + np.packbits(bits).tobytes() and (entropy.arith_decode(raw, model) == x).all()
+
+
+def test_streams_side_by_side_are_coded_as_alone():
+    """Of many lengths and models, those with one symbol, none, and long waits included."""
+    rng = np.random.default_rng(5)
+    streams = [rng.geometric(rng.choice([0.02, 0.3, 0.9]), n) for n in rng.integers(1, 500, 60)] + [np.empty(0, np.int64), np.full(9, 4), np.arange(3000)]
+    streams += [np.r_[np.zeros(n, np.int64), 1, np.zeros(n, np.int64)] for n in (1, 30, 400, 9000)] + [np.tile([0, 1], 700)]
+    models = [entropy.build_model(x) if len(x) else [] for x in streams]
+    want = [entropy.arith_encode(x, m) if m else b"" for x, m in zip(streams, models, strict=True)]
+    for cells in (entropy.CELLS, 20000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(entropy, "CELLS", cells)
+            assert entropy.encode_all(streams, models) == want
+            assert all(np.array_equal(x, y) for x, y in zip(entropy.decode_all(want, models), streams, strict=True))
+
+
+def test_images_of_a_task_are_coded_side_by_side(monkeypatch):
+    """No stream of four small images is left to the coder of single streams, and figures stay those of each point alone."""
+    images, points = [picture(16, seed) for seed in range(4)], GRID[::57]
+    (dealt,) = codec.deal_points(points, 16, Params(), 1)
+    wanted = [(point[0], x) for point, x in dealt]
+    ready = [codec._prepared(x, wanted) for x in images]
+    with monkeypatch.context() as m:
+        m.setattr(entropy, "arith_encode", None)
+        m.setattr(entropy, "arith_decode", None)
+        codec.code_ahead([(r, [x for _, x in some]) for _, recoders in ready for r, some in recoders])
+        got = [dict(codec._figures(*x)) for x in ready]
+    assert got == [{k: alone(x, Params(quality=q, attenuation=a)) for k, q, a in points} for x in images]
