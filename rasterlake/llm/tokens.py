@@ -34,7 +34,9 @@ MAGIC = b"RLDC"
 BLOCK = 512
 CHUNK_BITS = 8
 SEGMENT_TOKENS = 2_000_000
-CACHED_UNITS = 700_000
+#: Units that a worker holds in a dict (about 150 bytes each), and how many such dicts it keeps packed (about 50 bytes a unit).
+CACHED_UNITS = 250_000
+PACKED_RUNS = 6
 #: Bytes of text for a task, at most about.
 TASK_BYTES = 64 << 20
 END_ID = 0
@@ -44,6 +46,29 @@ TWO_BLANKS = re.compile(r"[\s\x1c-\x1f][\s\x1c-\x1f]")
 FINAL_MARKS = frozenset(".,;:!?")
 
 
+class PackedUnits:
+    """Units and their ids in four flat columns, in order of the units' hashes."""
+
+    def __init__(self, units: dict[str, bytes]):
+        words = list(units)
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        order = np.argsort(hashes)
+        self.hashes, places = hashes[order], pa.array(order)
+        self.words = pa.array(words, pa.large_string()).take(places)
+        self.ids = pa.array(units.values(), pa.large_binary(), size=len(words)).take(places)
+
+    def recall(self, words: np.ndarray, hashes: np.ndarray, into: dict[str, bytes]) -> np.ndarray:
+        """Put those of ``words`` that are here ``into`` a dict; marks them. A hash finds a place, the spelling decides."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        places = pa.array(at[found])
+        spelt, ids = (c.take(places).to_numpy(zero_copy_only=False) for c in (self.words, self.ids))
+        same = spelt == words[found]
+        found[found] = same
+        into.update(zip(spelt[same].tolist(), ids[same].tolist(), strict=True))
+        return found
+
+
 class UnitEncoder:
     """Ids of whole texts as the tokenizers library gives them, each distinct unit encoded once.
 
@@ -59,7 +84,7 @@ class UnitEncoder:
 
         self.tokenizer, self.max_units = Tokenizer.from_buffer(spec), max_units
         self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.packed: list[PackedUnits] = []
         kind = json.loads(spec)
         pre = kind.get("pre_tokenizer") or {}
         plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in kind.get("added_tokens", []))
@@ -94,6 +119,19 @@ class UnitEncoder:
                 self.units.update(zip(some, self.whole(spelt), strict=True))
         self.units.update((w, self.units[w[:-1]] + self.marks[w[-1]]) for w in ends)
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Remember packed units again; returns the words that none of the runs has."""
+        if not self.packed:
+            return words
+        rest = np.array(list(words), object)
+        hashes = np.fromiter(map(hash, rest), np.int64, len(rest))
+        order = np.argsort(hashes)  # neighbours are looked up one after the other
+        rest, hashes = rest[order], hashes[order]
+        for run in self.packed:
+            left = ~run.recall(rest, hashes, self.units)
+            rest, hashes = rest[left], hashes[left]
+        return set(rest.tolist())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if not self.cuts or TWO_BLANKS.search(t)]
         out = dict(zip(whole, self.whole([texts[i] for i in whole]), strict=True))
@@ -104,11 +142,10 @@ class UnitEncoder:
             wanted.update(parts[1:])
         new = {w for w in wanted if w not in self.units}
         if len(self.units) + len(new) > self.max_units:
-            # Two generations: what is asked for again comes back from the older one.
-            self.older, self.units, new = self.units, {}, wanted
-        again = {w for w in new if w in self.older}
-        self.units.update((w, self.older[w]) for w in again)
-        self.learn(new - again)
+            # What is asked for again comes back from the packed units, the latest first.
+            self.packed = [PackedUnits(self.units), *self.packed][:PACKED_RUNS] if self.units else self.packed
+            self.units, new = {}, wanted
+        self.learn(self.recall(new))
         known = self.units.__getitem__
         for (i, parts), head in zip(cut, heads, strict=True):
             out[i] = head + b"".join(map(known, parts[1:]))

@@ -180,3 +180,35 @@ def test_other_tokenizers_are_not_cut():
     encoder = tokens.UnitEncoder(json.dumps(spec).encode())
     assert not encoder.cuts
     assert encoder.encode(["a b"])[0].tolist() == encoder.tokenizer.encode("a b", add_special_tokens=False).ids
+
+
+def test_remembered_units_are_small(monkeypatch):
+    """A worker that has met more units than it remembers holds at most 140 MB of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    with open(tokenizer_file(), "rb") as f:
+        encoder = tokens.UnitEncoder(f.read())
+    monkeypatch.setattr(encoder, "learn", lambda words: encoder.units.update((w, len(w).to_bytes(12, "little")) for w in words))
+    before, held = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for k in range(0, 2_400_000, 20_000):
+        encoder.encode(["a " + " ".join(f"w{i:07d}" for i in range(k, k + 20_000))])
+        held = max(held, tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before)
+    tracemalloc.stop()
+    assert held < 140e6, held
+
+
+def test_packed_units_come_back_as_they_were(monkeypatch):
+    """Units asked for again after three times the dict's number of others have the library's ids, without being encoded again."""
+    with open(tokenizer_file(), "rb") as f:
+        encoder = tokens.UnitEncoder(f.read(), max_units=300)
+    texts = ["a " + " ".join(f"{c}w{i}é." if i % 3 else f"\n{c}w{i}" for i in range(290)) for c in "bcdeß"]
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for t, w in zip(texts, want, strict=True):
+        assert encoder.encode([t])[0].tolist() == w.ids
+    learned, learn = [], encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learned.extend(words), learn(words)))
+    assert encoder.encode(texts[1:2])[0].tolist() == want[1].ids
+    assert not learned
